@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import gracededup, mixing, packing, simhash, weaklabel
 from lodestrata.llm.scratch import table
+from lodestrata.session import ready
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the weakly supervised quality scorer rejects."""
+    ready(spark)
     scored = weaklabel.score(docs, weaklabel.fit(docs), out="quality_score")
     return scored.where("quality_score >= 0.5").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
+    ready(spark)
     return gracededup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles) the document with the smallest doc_id stays."""
+    ready(spark)
     groups = simhash.simhash_components(docs, words=5)
     ids = groups.where("id = component_id OR id IS NULL").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
@@ -39,6 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, packed best-fit into sequences."""
+    ready(spark)
     return packing.pack(docs, packing.tokenizer_path())
 
 
@@ -49,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = table(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

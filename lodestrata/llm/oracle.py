@@ -9,6 +9,19 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (t)
 """
 
+_BASE32 = "".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {k}) & 31), 1){' || ' if k else ''}" for k in (15, 10, 5, 0))
+
+OP1 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, sha256(body) AS k FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda j: list_transform([CAST('0x' || substr(hex, CAST(5 * j + 1 AS INT), 5) AS INT)], lambda v: {_BASE32})[1]), '') AS payload_digest FROM h),
+f AS (SELECT k, min(page_id) AS first FROM h GROUP BY k)
+SELECT b.page_id, b.payload_bytes, b.payload_digest,
+  CASE WHEN b.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN b.page_id = f.first THEN NULL ELSE f.first END AS refers_to
+FROM b JOIN f USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op1_warc": OP1, "op3_exact_dedup": OP3}

@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import gracededup, mixing, packing, simhash, toxicity, weaklabel
+from lodestrata.llm import covertree, gracededup, mixing, packing, pii, simhash, toxicity, urltrees, warc, weaklabel
+from lodestrata.session import ready
+
+
+#: The key of the registered query; a deployment passes its own.
+PII_KEY = "registered-query"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(_read(spark, sf_dir, "pages")).drop("url")
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.embedding_components(_read(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +41,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrees.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise_documents(docs, PII_KEY)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), packing.tokenizer_path(), seq_len=2048)
 
@@ -48,10 +70,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
+        op1_warc,
+        op2_embedding_near_dedup,
         op3_exact_dedup,
         op4_quality_classifier,
         op5_simhash,
+        op6_url_filter,
         op7_toxicity,
+        op8_pii_pseudonyms,
         op9_best_fit_packing,
         op10_source_mixing,
         pipeline,
