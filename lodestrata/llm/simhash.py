@@ -23,7 +23,7 @@ from lodestrata.llm.forest import Forest
 from lodestrata.llm.scratch import table
 
 SAMPLE = 32_768
-SHARD_ROWS = 16_384
+SHARD_ROWS = 65_536
 MAX_SHARDS = 4_096
 RINGS = 8
 LEAF = 256
