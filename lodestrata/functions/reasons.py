@@ -41,7 +41,7 @@ def gaps(reason: Column) -> Column:
     """What follows a gap phrase, up to 40 plain characters, trimmed; distinct in order."""
     pattern = "(" + "|".join(dims.GAP_PHRASES) + r")([a-z0-9_\- ]{0,40})"
     found = F.regexp_extract_all(F.lower(F.coalesce(reason, F.lit(""))), F.lit(pattern), F.lit(2))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def query_type(tool: Column, reason: Column) -> Column:
