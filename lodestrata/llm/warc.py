@@ -24,6 +24,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,10 @@ def _clean(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, first: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header and not the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, size: int, sha: str, payload: bytes | None, first: int | None = None) -> bytes:
+    """One WARC record; without a payload a revisit of ``first``, which keeps the HTTP header."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
@@ -84,6 +86,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, first
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _member(body: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(body) + packer.flush()
+
+
+def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page as the gzip member of a response, so that shuffles carry compressed records."""
+    for b in batches:  # page_id, url, payload, sha
+        digests, members = [], []
+        for page_id, url, payload in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            digests.append(_digest32(payload))
+            members.append(_member(record(page_id, url, len(payload), digests[-1], payload)))
+        size = pa.compute.cast(pa.compute.binary_length(b.column(2)), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, b.column(3), pa.array(digests, pa.string()), pa.array(members, pa.binary())], names=["page_id", "url", "size", "sha", "digest", "member"])
+
+
 def _filesystem(folder: str):
     from pyarrow import fs
 
@@ -97,15 +115,13 @@ class _Files:
         self.fs, self.root = _filesystem(folder)
         self.shard, self.roll, self.seq, self.stream = shard, roll, 0, None
 
-    def add(self, body: bytes) -> Iterator[tuple]:
+    def add(self, member: bytes) -> Iterator[tuple]:
         if self.stream is None:
             self.name = f"part-{self.shard:06d}-{self.seq:05d}.warc.gz"
             self.temporary = posixpath.join(self.root, "_temporary", f"{self.name}.{uuid.uuid4().hex}")
             self.stream = self.fs.open_output_stream(self.temporary, compression=None)
             self.records = self.bytes = 0
             self.sha = hashlib.sha256()
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-        member = packer.compress(body) + packer.flush()
         self.stream.write(member)
         self.sha.update(member)
         self.records, self.bytes = self.records + 1, self.bytes + len(member)
@@ -127,16 +143,14 @@ def _write(folder: str, roll: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: _Files | None = None
-        for b in batches:  # shard, page_id, url, payload, first, revisit; sorted
+        for b in batches:  # shard, page_id, url, size, digest, member (null for a revisit), first; sorted
             done: list[tuple] = []
-            columns = [b.column(k) if k != 3 else b.column(k).cast(pa.binary()) for k in range(6)]
-            for shard, page_id, url, payload, first, revisit in zip(*(c.to_pylist() for c in columns), strict=True):
+            for shard, page_id, url, size, digest, member, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if files is None or files.shard != shard:
                     if files is not None and files.stream is not None:
                         done.append(files.close())
                     files = _Files(folder, shard, roll)
-                payload = payload or b""
-                done.extend(files.add(record(page_id, url, payload, _digest32(payload), first, revisit)))
+                done.extend(files.add(member or _member(record(page_id, url, size, digest, None, first))))
             yield batch(done)
         if files is not None and files.stream is not None:
             yield batch([files.close()])
@@ -204,9 +218,10 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
 
         return pd.Series(np.searchsorted(np.asarray(edges, dtype=np.int64), key.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
-    joined = rows.join(firsts, "sha", "left")
-    revisit = (size >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    ready = joined.select(shard("page_id").alias("shard"), "page_id", "url", "payload", "first", revisit.alias("revisit"), "sha")
+    packed = rows.mapInArrow(_responses, "page_id bigint, url string, size bigint, sha binary, digest string, member binary")
+    revisit = (F.col("size") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    joined = packed.join(firsts, "sha", "left")
+    ready = joined.select(shard("page_id").alias("shard"), "page_id", "url", "size", "digest", F.when(~revisit, F.col("member")).alias("member"), "first", "sha")
     ready = ready.repartitionByRange(len(edges) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "sha").drop("sha")
     fs, root = _filesystem(folder)
     fs.create_dir(posixpath.join(root, "_temporary"), recursive=True)
