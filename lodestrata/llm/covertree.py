@@ -29,7 +29,8 @@ BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
 PIVOT_SAMPLE = 4096
 LEVELS = 6
-MARGIN = 2e-4
+#: Slack of distance bounds, and of cosines in single precision.
+MARGIN, SLACK = 1e-6, 1e-5
 TREES = "block int, cell int, center binary, radius double, tree binary"
 
 
@@ -61,7 +62,7 @@ def _dim(key: bytes) -> int:
 
 
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of unit vectors in single precision; short by MARGIN at most."""
+    """Distances of unit vectors in single precision, to choose centres by."""
     dot = a.astype(np.float32) @ b.astype(np.float32).T
     return np.sqrt(np.maximum(2 - 2 * dot, 0))
 
@@ -93,44 +94,97 @@ class CoverTree:
         self.x = x
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         above = owners[-1]  # of each point, its ancestor's rank in the level above
-        self.levels.append((np.arange(n), above, np.zeros(n, dtype=np.float32)))
+        self.levels.append((np.arange(n), above, np.zeros(n)))
         for k in range(LEVELS - 1, -1, -1):
-            cover = np.zeros(sizes[k], dtype=np.float32)
-            np.maximum.at(cover, above, gaps[np.arange(n), rank[above]])
+            cover = np.zeros(sizes[k])
+            np.maximum.at(cover, above, np.linalg.norm(x - x[rank[above]], axis=1))
             parent = owners[k - 1][rank[: sizes[k]]] if k else np.zeros(sizes[k], dtype=np.int64)
             self.levels.append((rank[: sizes[k]], parent, cover))
             above = parent[above]
         self.levels.reverse()
 
 
-def candidates(a: CoverTree, b: CoverTree, t: float) -> np.ndarray:
-    """Which point pairs the traversal leaves to be compared exactly (distance within ``t``, with a margin)."""
-    open_ = np.ones((1, 1), dtype=bool)
-    last = len(a.levels) - 1
-    skip = False
-    for k in range(last + 1):
+def _open_dense(xa: np.ndarray, ra: np.ndarray, xb: np.ndarray, rb: np.ndarray, t: float) -> np.ndarray:
+    """Node pairs that may hold points within ``t``, from one product of all centres.
+
+    Nodes of one point, the many in high dimensions, need a comparison only.
+    """
+    dot = xa.astype(np.float32) @ xb.astype(np.float32).T
+    reach = t + MARGIN
+    out = dot >= np.float32(1 - reach * reach / 2 - SLACK)
+    for side, r, other in ((0, ra, rb), (1, rb, ra)):
+        wide = np.flatnonzero(r)
+        if wide.size:
+            sums = (r[wide, None] + other[None, :] + reach) if side == 0 else (other[:, None] + r[None, wide] + reach)
+            part = (dot[wide] if side == 0 else dot[:, wide]) >= 1 - sums * sums / 2 - SLACK
+            if side == 0:
+                out[wide] = part
+            else:
+                out[:, wide] = part
+    return out
+
+
+def _expand(i: np.ndarray, j: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of children of node pairs (i, j), given each child's parent."""
+
+    def kids(parent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = np.bincount(parent, minlength=n)
+        return np.argsort(parent, kind="stable"), np.cumsum(count) - count, count
+
+    oa, sa, ca = kids(pa_, int(i.max()) + 1)
+    ob, sb, cb = kids(pb, int(j.max()) + 1)
+    each = ca[i] * cb[j]
+    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    width = np.repeat(cb[j], each)
+    return oa[np.repeat(sa[i], each) + at // width], ob[np.repeat(sb[j], each) + at % width]
+
+
+PAIRS = 1 << 17
+
+
+def _near(xa: np.ndarray, xb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of pairs, some at a time."""
+    out = np.empty(i.size, dtype=xa.dtype)
+    for at in range(0, i.size, PAIRS):
+        out[at : at + PAIRS] = np.einsum("ij,ij->i", xa[i[at : at + PAIRS]], xb[j[at : at + PAIRS]])
+    return out
+
+
+def candidates(a: CoverTree, b: CoverTree, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The point pairs that the dual traversal can't rule out.
+
+    Both trees go down together. While most node pairs of a level are open their bounds
+    come from one matrix product; once few are, pair by pair.
+    """
+    i = j = np.zeros(1, dtype=np.int64)
+    for k in range(1, len(a.levels)):
         (ca, pa_, ra), (cb, pb, rb) = a.levels[k], b.levels[k]
-        if k:
-            open_ = open_[pa_][:, pb]
-        if not open_.any():
-            return np.zeros((len(a.x), len(b.x)), dtype=bool)
-        if skip and k < last:  # these levels already hold most points: nothing is left to prune above the last
-            continue
-        open_ &= _gaps(a.x[ca], b.x[cb]) <= ra[:, None] + rb[None, :] + np.float32(t + MARGIN)
-        skip = 2 * ca.size > len(a.x) and 2 * cb.size > len(b.x)
-    return open_
-
-
-def links(a: CoverTree, b: CoverTree, same: bool, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks (rows of a, columns of b, linked?) decided in double precision."""
-    maybe = candidates(a, b, math.sqrt(max(0.0, 2 - 2 * cosine)))
+        above = (len(a.levels[k - 1][0]), len(b.levels[k - 1][0]))
+        kids = (np.bincount(pa_, minlength=above[0])[i] * np.bincount(pb, minlength=above[1])[j]).sum()
+        if 8 * kids > ca.size * cb.size:
+            open_ = _open_dense(a.x[ca], ra, b.x[cb], rb, t)
+            if kids < ca.size * cb.size:
+                parents = np.zeros(above, dtype=bool)
+                parents[i, j] = True
+                open_ &= parents[pa_][:, pb]
+            i, j = np.nonzero(open_)
+        else:
+            i, j = _expand(i, j, pa_, pb)
+            reach = ra[i] + rb[j] + (t + MARGIN)
+            keep = _near(a.x, b.x, ca[i], cb[j]) >= 1 - reach * reach / 2 - 1e-9
+            i, j = i[keep], j[keep]
+        if not i.size:
+            break
+    return i, j
+
+
+def links(a: CoverTree, b: CoverTree, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked point pairs (within one tree in both orders), decided in double precision."""
+    i, j = candidates(a, b, math.sqrt(max(0.0, 2 - 2 * cosine)))
+    keep = _near(a.x, b.x, i, j) >= cosine
     if same:
-        np.fill_diagonal(maybe, False)
-    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-    step = max(1, (1 << 21) // max(1, cols.size))
-    for at in range(0, rows.size, step):
-        r = rows[at : at + step]
-        yield r, cols, maybe[np.ix_(r, cols)] & (a.x[r] @ b.x[cols].T >= cosine)
+        keep &= i != j
+    return i[keep], j[keep]
 
 
 def _assign(pivots: dict[int, tuple[int, np.ndarray]]):
@@ -191,12 +245,11 @@ def _traverse(cosine: float):
         every = nodes if same else np.concatenate([nodes, other])
         count = np.zeros(len(every), dtype=np.int64)
         forest = Forest(len(every))
-        for r, c, hit in links(a, b, same, cosine):
-            count[r] += hit @ others[c]
-            if not same:
-                count[c + shift] += weights[r] @ hit
-            i, j = np.nonzero(hit)
-            forest.union(r[i], c[j] + shift)
+        i, j = links(a, b, same, cosine)
+        count += np.bincount(i, weights=others[j], minlength=len(every)).astype(np.int64)
+        if not same:
+            count += np.bincount(j + shift, weights=weights[i], minlength=len(every)).astype(np.int64)
+        forest.union(i, j + shift)
         at = np.flatnonzero(count)
         return pa.table({"node": every[at], "links": count[at], "root": every[forest.find(at)]}, schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
