@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.scratch import table
+from lodestrata.llm.scratch import place, shielded, table, unshielded
 
 FOLDED = "h bigint, content binary, keep_id bigint, n bigint"
 CLASSES = "digest binary, content binary, keep_id bigint, group_size bigint"
@@ -210,19 +210,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty table. Contents that share a digest are told apart by
     the contents themselves (``digest_bytes`` below 32 is for tests of that path).
     """
-    made = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*made)
     classes = table(text_classes(docs, id_col, text_col, memory, digest_bytes), "classes")
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    left = docs.withColumn("text_sha256", F.sha2(body, 256))
-    key = F.substring(F.unhex("text_sha256"), 1, digest_bytes)
+    own_id = F.col(place(docs, id_col)).cast("bigint")
+    body = F.coalesce(F.col(place(docs, text_col)), F.lit("")).cast("binary")
+    left = shielded(docs).withColumn("text_sha256", F.sha2(body, 256))
+    left = left.withColumn("digest", F.substring(F.unhex("text_sha256"), 1, digest_bytes))
     plain = classes.where("content IS NULL").drop("content")
-    out = left.withColumn("_d", key).join(plain.withColumnRenamed("digest", "_d"), "_d", "left")
+    out = left.join(plain, "digest", "left")
     shared = classes.where("content IS NOT NULL")
     if not shared.isEmpty():  # a digest with several contents: those join by content as well
-        hard = shared.select(F.col("digest").alias("_d"), F.col("content").alias("_c"), F.col("keep_id").alias("_k"), F.col("group_size").alias("_g"))
-        out = left.withColumn("_d", key).withColumn("_c", body)
-        out = out.join(plain.withColumnRenamed("digest", "_d"), "_d", "left").join(hard, ["_d", "_c"], "left")
-        out = out.withColumn("keep_id", F.when(F.col("_g").isNull(), F.col("keep_id")).otherwise(F.col("_k")))
-        out = out.withColumn("group_size", F.coalesce("_g", "group_size")).drop("_c", "_k", "_g")
-    return out.withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col).cast("bigint"))).select(*docs.columns, *made)
+        hard = shared.select("digest", "content", F.col("keep_id").alias("k"), F.col("group_size").alias("g"))
+        out = left.withColumn("content", body).join(plain, "digest", "left").join(hard, ["digest", "content"], "left")
+        out = out.withColumn("keep_id", F.when(F.col("g").isNull(), F.col("keep_id")).otherwise(F.col("k"))).withColumn("group_size", F.coalesce("g", "group_size"))
+    out = out.withColumn("kept", F.col("keep_id").eqNullSafe(own_id))
+    return unshielded(out, docs.columns, "keep_id", "group_size", "kept", "text_sha256")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.scratch import table
+from lodestrata.llm.scratch import place, shielded, table, unshielded
 
 PRIORITY_BITS = 60
 BLOCK_BITS = (6, 18)
@@ -61,18 +61,11 @@ class Mix:
     levels: int
     bits: int
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-        """``docs`` with ``_size, _prio, _source_size, _target, _cuts``; _cuts has one entry per copy that the mix takes."""
-        n = F.col(text_col)
-        out = docs.withColumn("_size", word_count(n)).withColumn("_prio", keyed(self.seed, F.col(id_col)))
-        return self.join(out, source_col)
-
-    def join(self, sized: DataFrame, source_col: str) -> DataFrame:
+    def draws_of(self, sized: DataFrame) -> DataFrame:
+        """``sized(source_key, prio, ...)`` with its source's size and target, and ``cuts``: an entry a copy that the mix takes."""
         plan = self.sources.join(self.draws, "source_key").select("source_key", "block", "source_size", "target", "cuts")
-        plan = plan.toDF("_key", "_block", "_source_size", "_target", "_cuts")
-        out = sized.withColumn("_key", source_key(F.col(source_col))).withColumn("_block", _block(F.col("_prio"), self.bits))
-        out = out.join(_near(table(plan, "mix-plan")), ["_key", "_block"], "left")
-        return out.withColumn("_cuts", F.expr("filter(_cuts, c -> _prio <= c.cut OR array_contains(c.extra, _prio))")).drop("_key", "_block")
+        out = sized.withColumn("block", _block(F.col("prio"), self.bits)).join(_near(table(plan, "mix-plan")), ["source_key", "block"], "left")
+        return out.withColumn("cuts", F.expr("filter(cuts, c -> prio <= c.cut OR array_contains(c.extra, prio))"))
 
 
 def source_key(source: Column) -> Column:
@@ -240,9 +233,8 @@ def mix_takes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     sized = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), keyed(seed, F.col(id_col)).alias("prio"))
     sized = table(sized, "mix-sizes")
     mix = _plan(sized.select("source_key", "size", "prio"), seed)
-    plan = mix.sources.join(mix.draws, "source_key").select("source_key", "block", "source_size", "target", "cuts")
-    out = sized.withColumn("block", _block(F.col("prio"), mix.bits)).join(_near(table(plan, "mix-plan")), ["source_key", "block"], "left")
-    copies = F.coalesce(F.expr("size(filter(cuts, c -> prio <= c.cut OR array_contains(c.extra, prio)))"), F.lit(0))
+    out = mix.draws_of(sized)
+    copies = F.coalesce(F.size("cuts"), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
@@ -253,7 +245,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     without words is taken as often as its block is.
     """
     mix = plan_mix(docs, id_col, source_col, text_col, seed)
-    taken = mix.apply(docs, id_col, source_col, text_col)
-    taken = taken.withColumn("_draw", F.explode("_cuts")).withColumn("_shuffle", keyed(seed, "shuffle", F.col("_prio"), F.col("_draw.epoch")))
-    taken = taken.withColumn("_shard", F.col("_draw.shard"))
-    return taken.repartition(1 << mix.levels, "_shard").sortWithinPartitions("_shard", "_shuffle").select(*docs.columns)
+    rows = shielded(docs).withColumn("source_key", source_key(F.col(place(docs, source_col)))).withColumn("prio", keyed(seed, F.col(place(docs, id_col))))
+    taken = mix.draws_of(rows).withColumn("draw", F.explode("cuts"))
+    taken = taken.withColumn("shard", F.col("draw.shard")).withColumn("order", keyed(seed, "shuffle", F.col("prio"), F.col("draw.epoch")))
+    dealt = taken.select(*[c for c in rows.columns if c.startswith("in_")], "shard", "order").repartition(1 << mix.levels, "shard")
+    return unshielded(dealt.sortWithinPartitions("shard", "order"), docs.columns)

@@ -32,3 +32,19 @@ def table(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by place, so that working columns can't clash with them."""
+    return docs.toDF(*[f"in_{k}" for k in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, column: str) -> str:
+    """The name that ``column`` has in ``shielded(docs)``."""
+    return f"in_{[c.lower() for c in docs.columns].index(column.lower())}"
+
+
+def unshielded(docs: DataFrame, names: list[str], *added: str) -> DataFrame:
+    """The shielded columns under their own ``names``, and those ``added``, which replace equally named ones."""
+    made = {a.lower() for a in added}
+    return docs.select(*[docs[f"in_{k}"].alias(c) for k, c in enumerate(names) if c.lower() not in made], *added)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.features import Ftrl, SparseWeights, mix, word_hashes
+from lodestrata.llm.scratch import place, shielded, unshielded
 
 #: Labelled documents that training takes at most, about (they are chosen by a hash of the id).
 MAX_TRAINING = 12_000
@@ -118,18 +119,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, ep
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 over the whole text; null and empty texts get the bias alone."""
-    names = [c for c in docs.columns if c != out]
+    rows = shielded(docs)
+    names, at = rows.columns, rows.columns.index(place(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights()
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text")).to_pylist()
-            got = pa.array([model.score(t, weights) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), got], names=[*names, out])
+            got = pa.array([model.score(t, weights) for t in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, out])
 
-    rows = docs.select(*names, F.col(text_col).alias("_text"))
-    kept = docs.select(*names).withColumn(out, F.lit(0.0).cast("double")).schema
-    return rows.mapInArrow(run, kept)
+    return unshielded(rows.mapInArrow(run, rows.withColumn(out, F.lit(0.0).cast("double")).schema), docs.columns, out)
 
 
 def held_out(id_col: str) -> "F.Column":

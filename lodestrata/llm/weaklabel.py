@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.features import Ftrl, slices
+from lodestrata.llm.scratch import place, shielded, unshielded
 
 #: Documents that the scorer's training takes at most, about (chosen by a hash of id and text).
 MAX_TRAINING = 12_000
@@ -259,15 +260,15 @@ def fit(docs: DataFrame, text_col: str = "text", max_training: int = MAX_TRAININ
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "quality_score") -> DataFrame:
     """``docs`` with the scorer's probability that the whole text is good."""
-    names = [c for c in docs.columns if c != out]
+    rows = shielded(docs)
+    names, at = rows.columns, rows.columns.index(place(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.array([model.score(t) for t in b.column(len(names)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), got], names=[*names, out])
+            got = pa.array([model.score(t) for t in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*names, out])
 
-    rows = docs.select(*names, F.col(text_col).alias("_scored_text"))
-    return rows.mapInArrow(run, docs.select(*names).withColumn(out, F.lit(0.0).cast("double")).schema)
+    return unshielded(rows.mapInArrow(run, rows.withColumn(out, F.lit(0.0).cast("double")).schema), docs.columns, out)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
