@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import merging, lookups, texts, traversals, states
+from lodestrata.plans import compositions, lookups, merging, states, texts, traversals
 from lodestrata.plans.fixtures import Tables
 
-_MODULES = (merging, lookups, texts, traversals, states)
+_MODULES = (merging, lookups, texts, traversals, states, compositions)
 
 
 def _bound(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
