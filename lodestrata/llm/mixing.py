@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.scratch import place, shielded, table, unshielded
+from lodestrata.llm.scratch import near, place, shielded, table, unshielded
 
 PRIORITY_BITS = 60
 BLOCK_BITS = (6, 18)
@@ -32,7 +32,6 @@ SHARD_WORDS = 4_000_000
 LEVELS = (2, 18)
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
-SMALL_ROWS = 50_000
 WORD = r"[^ \t-\r]+"
 
 
@@ -46,11 +45,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _near(small: DataFrame) -> DataFrame:
-    """A broadcast hint for a materialised table of at most SMALL_ROWS rows; none beyond."""
-    return F.broadcast(small) if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else small
-
-
 @dataclass
 class Mix:
     """``sources``: source, source_size, target, passes; ``draws``: source, block, cuts (one per draw of the block: epoch, shard, cut, extra)."""
@@ -64,7 +58,7 @@ class Mix:
     def draws_of(self, sized: DataFrame) -> DataFrame:
         """``sized(source_key, prio, ...)`` with its source's size and target, and ``cuts``: an entry a copy that the mix takes."""
         plan = self.sources.join(self.draws, "source_key").select("source_key", "block", "source_size", "target", "cuts")
-        out = sized.withColumn("block", _block(F.col("prio"), self.bits)).join(_near(table(plan, "mix-plan")), ["source_key", "block"], "left")
+        out = sized.withColumn("block", _block(F.col("prio"), self.bits)).join(near(table(plan, "mix-plan")), ["source_key", "block"], "left")
         return out.withColumn("cuts", F.expr("filter(cuts, c -> prio <= c.cut OR array_contains(c.extra, prio))"))
 
 
@@ -113,7 +107,7 @@ def _cut(sized: DataFrame, sources: DataFrame, seed: str, bits: int) -> DataFram
     blocks = table(blocks.select("source_key", "block", "n", (F.col("rest") - F.col("after") + F.col("n")).alias("room")), "mix-blocks")
     edge = blocks.where("room > 0 AND room < n").select("source_key", "block", "room")
     fine = F.shiftright(F.col("prio"), PRIORITY_BITS - bits - FINE_BITS)
-    inside = sized.withColumn("block", _block(F.col("prio"), bits)).join(_near(edge), ["source_key", "block"])
+    inside = sized.withColumn("block", _block(F.col("prio"), bits)).join(near(edge), ["source_key", "block"])
     inside = table(inside.select("source_key", "block", "room", "prio", "size", fine.alias("fine")), "mix-edge")
     in_order = Window.partitionBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
     parts = inside.groupBy("source_key", "block", "room", "fine").agg(F.sum("size").alias("n"))
@@ -135,10 +129,10 @@ def _cut(sized: DataFrame, sources: DataFrame, seed: str, bits: int) -> DataFram
 def _fill(sized: DataFrame, cuts: DataFrame, short: DataFrame, bits: int) -> DataFrame:
     """Adds ``extra``: up to FILLERS untaken documents a source whose sizes come nearest to what its cut leaves short."""
     short = table(short.withColumn("extra", F.expr("CAST(array() AS ARRAY<BIGINT>)")), "mix-short")
-    spare = sized.withColumn("block", _block(F.col("prio"), bits)).join(_near(cuts), ["source_key", "block"]).where("prio > cut AND size > 0")
+    spare = sized.withColumn("block", _block(F.col("prio"), bits)).join(near(cuts), ["source_key", "block"]).where("prio > cut AND size > 0")
     spare = spare.select("source_key", "prio", "size")
     for _ in range(FILLERS):
-        fits = spare.join(_near(short), "source_key").where("size < 2 * short AND NOT array_contains(extra, prio)")
+        fits = spare.join(near(short), "source_key").where("size < 2 * short AND NOT array_contains(extra, prio)")
         best = fits.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "prio", "size")).alias("e"))
         short = short.join(best, "source_key", "left").select(
             "source_key",

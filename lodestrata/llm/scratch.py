@@ -10,6 +10,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 50_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +37,11 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def near(small: DataFrame) -> DataFrame:
+    """A broadcast hint for a materialised table of at most SMALL_ROWS rows; beyond that the join is shuffled."""
+    return F.broadcast(small) if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else small
+
+
 def shielded(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named by place, so that working columns can't clash with them."""
     return docs.toDF(*[f"in_{k}" for k in range(len(docs.columns))])

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.scratch import new_path
+from lodestrata.llm.scratch import near, new_path, table
 
 SHARD_BYTES = 32 << 20
 MAX_SHARDS = 16_384
@@ -208,7 +208,7 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"), F.unhex(F.sha2(body, 256)).alias("sha"))
     size = F.octet_length("payload")
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
+    shared = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     bounds = shard_bounds(rows.where("page_id IS NOT NULL").select(F.col("page_id").alias("key"), (size + 400).cast("bigint").alias("bytes")), shard_bytes)
     edges = bounds.tolist()
 
@@ -219,8 +219,9 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
         return pd.Series(np.searchsorted(np.asarray(edges, dtype=np.int64), key.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
     packed = rows.mapInArrow(_responses, "page_id bigint, url string, size bigint, sha binary, digest string, member binary")
-    revisit = (F.col("size") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    joined = packed.join(firsts, "sha", "left")
+    several = F.col("n").isNotNull()
+    revisit = several & (F.col("size") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    joined = packed.join(near(table(shared.withColumn("n", F.lit(1)), "shared")), "sha", "left")
     ready = joined.select(shard("page_id").alias("shard"), "page_id", "url", "size", "digest", F.when(~revisit, F.col("member")).alias("member"), "first", "sha")
     ready = ready.repartitionByRange(len(edges) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "sha").drop("sha")
     fs, root = _filesystem(folder)
