@@ -3,7 +3,7 @@
 Features are presence flags of words, adjacent pairs, pairs one word apart, and word
 stems (first bytes, so that inflected forms share one). Labelled rows are sampled by
 hash up to a documented bound for training; every row is scored over its whole text.
-L1 leaves a few thousand weights, which are broadcast.
+L1 leaves some hundreds to thousands of weights, which are broadcast.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from lodestrata.llm.features import Ftrl, SparseWeights, mix, word_hashes
 from lodestrata.llm.scratch import place, shielded, unshielded
 
 #: Labelled documents that training takes at most, about (they are chosen by a hash of the id).
-MAX_TRAINING = 12_000
+MAX_TRAINING = 8_000
 #: Training leaves out hashes that fewer of its documents have; scoring looks at all.
 LEAST_DOCS = 4
 EPOCHS = 5
 #: Weight of a row labelled 1, which are the rarer ones.
 POSITIVE = 4.0
-STEM = 6
+STEM = 4
+ALPHA = 2.0
 _PAIR, _SKIP, _STEM = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 
 
@@ -57,19 +58,19 @@ class ToxicityModel:
         return SparseWeights(self.keys, self.values, self.bias)
 
 
-def train(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, least_docs: int = LEAST_DOCS, l1: float = 8.0) -> ToxicityModel:
+def train(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, least_docs: int = LEAST_DOCS, l1: float = 14.0) -> ToxicityModel:
     """A model from (feature hashes, label) rows, passed over in the order given."""
     if not rows:
         return ToxicityModel(np.empty(0, np.uint64), np.empty(0), 0.0)
     keys, counts = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
     keys = keys[counts >= least_docs]
+    del counts
     columns = []
     for hashes, _ in rows:
         at = np.searchsorted(keys, hashes)
-        at = at[(at < keys.size)] if keys.size else at[:0]
-        hit = keys[at] == hashes[: at.size] if at.size else np.empty(0, bool)
-        columns.append(np.concatenate(([0], at[hit] + 1)))
-    learner = Ftrl(keys.size + 1, alpha=1.0, l1=l1, l2=1.0)
+        at = at[at < keys.size]
+        columns.append(np.concatenate(([0], at[keys[at] == hashes[: at.size]] + 1)).astype(np.int32))
+    learner = Ftrl(keys.size + 1, alpha=ALPHA, l1=l1, l2=1.0)
     for _ in range(epochs):
         for at, (_, y) in zip(columns, rows, strict=True):
             learner.step(at, np.ones(at.size), y, POSITIVE if y else 1.0)
