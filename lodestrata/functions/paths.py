@@ -17,7 +17,7 @@ CHECK_LANGUAGES = {
 }
 # What the repository walk takes and skips, and how many files it stops at.
 WALK_EXTENSIONS = ("rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "c", "cpp", "cc", "h", "hpp")
-WALK_SKIPS = ("target", "node_modules", ".git", ".ucil", "dist", "build", "venv", ".venv", "__pycache__")
+WALK_SKIPS = ("target", "node_modules", "dist", "build", "venv", "__pycache__")  # besides all dot-names
 WALK_CAP = 50_000
 
 
