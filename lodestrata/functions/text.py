@@ -111,11 +111,16 @@ def smart_case(text: Column, pattern: str) -> Column:
     return F.split(text, "\x00")[0].rlike(flag + pattern)
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def like_ascii(text: Column, query: str) -> Column:
     """``LIKE`` that folds A-Z only, with ``%`` and ``_`` as wildcards and no escape character."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    pattern = query.translate(str.maketrans(upper, lower)).replace("\\", "\\\\")
-    return F.translate(text, upper, lower).like(pattern)
+    return ascii_lower(text).like(query.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\"))
 
 
 def quality_severity(severity: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.paths import normalise
-from lodestrata.functions.text import like_ascii, parent_module
+from lodestrata.functions.text import ascii_lower, like_ascii, parent_module
 
 
 def _newest() -> list[Column]:
@@ -53,14 +53,18 @@ def resolve_symbol(entities: DataFrame, symbol: str, file_path: str | None = Non
 
 
 def resolve_symbols(entities: DataFrame, wanted: DataFrame) -> DataFrame:
-    """resolve_symbol for every ``wanted(symbol)``: the exact arms are equi-joins on what a row can be asked by."""
-    tail = F.lower(F.element_at(F.split("qualified_name", "::"), -1))
+    """resolve_symbol for every ``wanted(symbol)`` as equi-joins on all that a row can be asked by.
+
+    Unlike the single form, ``%`` and ``_`` in a symbol stand for themselves.
+    """
+    parts = F.split("qualified_name", "::")
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: ascii_lower(F.array_join(F.slice(parts, k, F.size(parts)), "::")))
     keys = F.array_distinct(F.array_compact(F.array(F.col("name"), F.col("qualified_name"))))
     exact = entities.select("id", "t_ingested_at", F.explode(keys).alias("symbol"))
-    loose = entities.where(F.contains("qualified_name", F.lit("::"))).select("id", "t_ingested_at", tail.alias("_tail"))
+    loose = entities.where(F.contains("qualified_name", F.lit("::"))).select("id", "t_ingested_at", F.explode(tails).alias("_tail"))
     asked = wanted.select("symbol").distinct()
     hits = asked.join(exact, "symbol").select("symbol", "id", "t_ingested_at")
-    hits = hits.unionByName(asked.join(loose, F.lower("symbol") == F.col("_tail")).select("symbol", "id", "t_ingested_at"))
+    hits = hits.unionByName(asked.join(loose, ascii_lower(F.col("symbol")) == F.col("_tail")).select("symbol", "id", "t_ingested_at"))
     best = hits.groupBy("symbol").agg(F.max(F.struct("t_ingested_at", "id")).alias("b")).select("symbol", F.col("b.id").alias("id"))
     return best.join(entities, "id").withColumn("parent_module", parent_module(F.col("qualified_name")))
 

@@ -122,6 +122,15 @@ def test_search_merge_respects_the_cap(spark):
     assert got == {("f", 1): ("both", "t1"), ("f", 2): ("symbol", "s2"), ("g", 1): ("text", "t2")}  # the last text hit comes after the cap
 
 
+def test_symbols_resolve_by_any_tail(spark):
+    e = spark.createDataFrame([(1, "f", "m::C::f", 1), (2, "f", "n::f", 2), (3, "É", "n::É", 1), (4, "g", None, None), (5, "g", None, None)], "id bigint, name string, qualified_name string, t_ingested_at int")
+    ask = spark.createDataFrame([("c::F",), ("f",), ("n::f",), ("é",), ("g",), ("%",)], "symbol string")
+    got = {r["symbol"]: (r["id"], r["parent_module"]) for r in lookup.resolve_symbols(e, ask).collect()}
+    assert got == {"c::F": (1, "m::C"), "f": (2, "n"), "n::f": (2, "n"), "g": (5, None)}
+    for symbol, (key, _) in got.items():
+        assert lookup.resolve_symbol(e, symbol).first()["id"] == key
+
+
 def _queue_bfs(edges, seeds, depth):
     adj = {}
     for s, t, k, w, pos in sorted(edges, key=lambda e: (e[0], e[1], e[4])):

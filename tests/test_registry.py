@@ -4,9 +4,8 @@ import os
 
 import pytest
 
-from conftest import DATA
 from lodestrata.plans import registry
-from oracle import assert_same, connect
+from oracle import DATA, assert_same, connect
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
