@@ -154,10 +154,10 @@ def merge_search(symbols: DataFrame, texts: DataFrame, cap: int) -> DataFrame:
     rows = rows.unionByName(texts.select("file", "line", "preview", F.lit("text").alias("source"), F.lit(1).alias("_side"), "pos"))
     firsts = rows.groupBy("file", "line").agg(F.min(F.struct("_side", "pos")).alias("at"))
     top = firsts.orderBy("at", "file", "line").limit(cap)
-    full = top.agg(F.count("*").alias("n"), F.max("at").alias("last"))
-    late = F.when(F.col("f.n") >= cap, F.col("f.last"))
-    kept = rows.alias("r").join(F.broadcast(top.alias("t")), ["file", "line"]).join(F.broadcast(full.alias("f")))
-    kept = kept.where(late.isNull() | (F.struct("r._side", "r.pos") <= late))
+    full = top.agg(F.count("*").alias("n"), F.max("at").alias("last")).first()
+    kept = rows.join(F.broadcast(top.select("file", "line")), ["file", "line"])
+    if full["n"] >= cap:  # the cap is reached: later text hits change nothing
+        kept = kept.where(F.struct("_side", "pos") <= F.struct(F.lit(full["last"]["_side"]).alias("_side"), F.lit(full["last"]["pos"]).alias("pos")))
     out = kept.groupBy("file", "line").agg(
         F.min(F.struct("_side", "pos", "preview")).alias("first"),
         F.count(F.when(F.col("_side") == 1, 1)).alias("texts"),
