@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import gracededup, mixing, packing, simhash, weaklabel
+from lodestrata.llm import gracededup, mixing, nearcopies, packing, weaklabel
 from lodestrata.llm.scratch import table
 from lodestrata.session import ready
 
@@ -29,9 +29,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document with the smallest doc_id stays."""
+    """Of each group of near copies (similarity of five-word shingles 0.8 or more) the document with the smallest doc_id stays."""
     ready(spark)
-    groups = simhash.simhash_components(docs, words=5)
+    groups = nearcopies.near_components(docs, words=5)
     ids = groups.where("id = component_id OR id IS NULL").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
