@@ -4,7 +4,8 @@ Every document has a priority (a keyed md5 prefix), so the documents of a source
 priority order are a fixed random permutation and equal priority ranges are random
 blocks. A source's word target is met by whole passes over its blocks and one partial
 pass over blocks in permuted order, cut inside a single block by refining that block's
-priority range twice and topped up with the few documents that fit what is left. The resulting exact block quotas are split down a binary tree
+priority range twice. A document that doesn't fit is skipped: the cut goes on over those
+that do, until what is left is less than the smallest untaken document. The resulting exact block quotas are split down a binary tree
 over the output shards: at each node the left half's count of every source is a
 hypergeometric draw given what the sources before it took (inverse distribution
 function, uniform keyed by node and source). A shard then takes its disjoint range of
@@ -18,6 +19,7 @@ Side tables have a row a source, or a row a source and block.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,6 @@ from lodestrata.llm.scratch import near, place, shielded, table, unshielded
 PRIORITY_BITS = 60
 BLOCK_BITS = (6, 18)
 FINE_BITS = 10
-FILLERS = 3
 SHARD_WORDS = 4_000_000
 LEVELS = (2, 18)
 MAX_COPIES = 3
@@ -123,24 +124,47 @@ def _cut(sized: DataFrame, sources: DataFrame, seed: str, bits: int) -> DataFram
     last = last.select("source_key", "block", F.coalesce("e.prio", "low").alias("cut"), (F.col("left") - F.coalesce("e.upto", F.lit(0))).alias("short"))
     whole = F.when(F.col("room") >= F.col("n"), F.when(F.col("room") > 0, F.lit(1 << PRIORITY_BITS)).otherwise(F.lit(-1)))
     cuts = blocks.join(last, ["source_key", "block"], "left").select("source_key", "block", F.coalesce(whole, "cut", F.lit(-1)).alias("cut"))
-    return _fill(sized, table(cuts, "mix-cuts"), last.select("source_key", "short"), bits)
+    return _fill(sized, table(cuts, "mix-cuts"), last.select("source_key", "short"), seed, bits)
 
 
-def _fill(sized: DataFrame, cuts: DataFrame, short: DataFrame, bits: int) -> DataFrame:
-    """Adds ``extra``: up to FILLERS untaken documents a source whose sizes come nearest to what its cut leaves short."""
-    short = table(short.withColumn("extra", F.expr("CAST(array() AS ARRAY<BIGINT>)")), "mix-short")
+def _fill(sized: DataFrame, cuts: DataFrame, short: DataFrame, seed: str, bits: int) -> DataFrame:
+    """Adds ``extra``: the untaken documents that make up for what a source's cut leaves short.
+
+    In turn, the cut goes on over those that fit, in the order of blocks, and the one nearest
+    to the rest is taken, until none is left that brings the source nearer to its target.
+    What a cut leaves short is less than the document that stopped it, which bounds ``extra``.
+    """
+    short = table(short, "mix-short")
     spare = sized.withColumn("block", _block(F.col("prio"), bits)).join(near(cuts), ["source_key", "block"]).where("prio > cut AND size > 0")
-    spare = spare.select("source_key", "prio", "size")
-    for _ in range(FILLERS):
-        fits = spare.join(near(short), "source_key").where("size < 2 * short AND NOT array_contains(extra, prio)")
-        best = fits.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "prio", "size")).alias("e"))
-        short = short.join(best, "source_key", "left").select(
-            "source_key",
-            (F.col("short") - F.coalesce("e.size", F.lit(0))).alias("short"),
-            F.when(F.col("e").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("e.prio"))).alias("extra"),
-        )
-        short = table(short, "mix-short")
-    extra = short.select("source_key", F.explode("extra").alias("p")).groupBy("source_key", _block(F.col("p"), bits).alias("block")).agg(F.collect_list("p").alias("extra"))
+    spare = spare.groupBy("source_key", "block", "prio").agg(F.sum("size").alias("size"))
+    spare = table(spare.join(near(short), "source_key").where("size < 2 * short"), "mix-spare")
+    key, taken = ["source_key", "block", "prio"], []
+
+    def take(picked: DataFrame) -> None:
+        nonlocal short, spare
+        picked = table(picked.select(*key, "size"), "mix-extra")
+        taken.append(picked.select(*key))
+        got = picked.groupBy("source_key").agg(F.sum("size").alias("got"))
+        short = table(short.join(near(got), "source_key", "left").select("source_key", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short")), "mix-short")
+        rest = spare.drop("short").join(near(picked.select(*key)), key, "left_anti").join(near(short), "source_key")
+        spare = table(rest.where("size < 2 * short"), "mix-spare")
+
+    order = Window.partitionBy("source_key").orderBy(keyed(seed, "block", F.col("source_key"), F.col("block")), "block")
+    inside = Window.partitionBy("source_key", "block").orderBy("prio").rowsBetween(Window.unboundedPreceding, 0)
+    while not spare.isEmpty():
+        fits = spare.where("size <= short")
+        before = fits.groupBy("source_key", "block").agg(F.sum("size").alias("n"), F.max("short").alias("short"))
+        before = before.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+        before = table(before.where("before < short").select("source_key", "block", "before"), "mix-before")
+        cut = fits.join(near(before), ["source_key", "block"]).withColumn("upto", F.col("before") + F.sum("size").over(inside))
+        take(cut.where("upto <= short"))
+        least = spare.groupBy("source_key").agg(F.min("size").alias("least"))
+        close = spare.join(near(table(least, "mix-least")), "source_key").where("size <= short OR size - short < least")
+        best = close.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "prio", "size", "block")).alias("e"))
+        take(best.select("source_key", "e.*"))
+    if not taken:
+        return cuts.withColumn("extra", F.expr("CAST(array() AS ARRAY<BIGINT>)"))
+    extra = reduce(DataFrame.unionByName, taken).groupBy("source_key", "block").agg(F.collect_list("prio").alias("extra"))
     return cuts.join(extra, ["source_key", "block"], "left").withColumn("extra", F.coalesce("extra", F.expr("CAST(array() AS ARRAY<BIGINT>)")))
 
 

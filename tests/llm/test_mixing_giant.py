@@ -1,0 +1,25 @@
+"""Sources whose cut is stopped by a very long document."""
+
+import pytest
+from cases import SCHEMA
+from pyspark.sql import functions as F
+
+from lodestrata.llm import mixing
+
+
+def giants(words):
+    """30 sources with one giant and 400 documents of 300 words."""
+    rows = [(1_000_000 + k, "w " * words, "en", f"g{k:02d}", 0) for k in range(30)]
+    rows += [(k * 1000 + j, "w " * 300, "en", f"g{k:02d}", 0) for k in range(30) for j in range(400)]
+    return rows
+
+
+@pytest.mark.parametrize("words", [80_000, 20_000])
+def test_a_giant_document_does_not_stop_its_source(spark, words):
+    df = spark.createDataFrame(giants(words), SCHEMA).repartition(4)
+    by = df.select("doc_id", "source").join(mixing.mix_takes(df), "doc_id").withColumn("passes", F.floor(F.col("target") / F.col("source_size")))
+    by = by.withColumn("untaken", F.col("taken") <= F.col("passes") * F.col("size"))
+    got = by.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.min(F.when(F.col("untaken"), F.col("size"))).alias("least")).collect()
+    assert len(got) == 30
+    for r in got:
+        assert r["least"] is None or abs(r["taken"] - r["target"]) < r["least"], r
