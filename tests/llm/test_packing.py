@@ -25,38 +25,77 @@ def test_ids_of_the_corpus(spark):
         assert packing.check_ids(PATH, r["text"])
 
 
-def test_caches_are_bounded():
-    t = packing.TokenBytes(PATH, keep=10)
-    for k in range(100):
-        t(f"w{k} again w{k % 3}")
-    assert len(t.young) <= 10 and len(t.old) <= 10
-
-
-@pytest.mark.parametrize("seed", range(30))
-def test_plan_is_best_fit_decreasing(seed):
-    r, size = random.Random(seed), 64
-    counts = {s: r.randint(1, 40) for s in range(1, size + 1) if r.random() < 0.4}
-    plan, used = sorted(packing.best_fit(counts, size)), {}
-    for s, n in counts.items():
-        own = [p for p in plan if p[0] == s]
-        for k in range(n):
-            e = [p for p in own if p[1] <= k][-1]
-            used.setdefault(e[2] + (k - e[1]) // e[4], []).append((e[3] + (k - e[1]) % e[4] * s, s))
-    for pieces in used.values():
-        at = 0
-        for offset, s in sorted(pieces):
-            assert offset == at
-            at += s
-        assert at <= size
+def plain_sweep(rows):
+    """Best-fit matching with a stack: (value, is gap, id) to pairs of ids."""
+    stack, out = [], []
+    for _, gap, i in sorted(rows):
+        if not gap:
+            stack.append(i)
+        elif stack:
+            out.append((stack.pop(), i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_brackets_and_ranks_are_one_sweep(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 300))
+    v, gap = np.sort(r.integers(1, 40, n)), r.random(n) < 0.5
+    order = np.lexsort((np.arange(n), gap, v))
+    v, gap = v[order], gap[order]
+    want = plain_sweep([(int(v[k]), bool(gap[k]), k) for k in range(n)])
+    p, g = packing.brackets(gap)
+    assert sorted(zip(p.tolist(), g.tolist(), strict=True)) == want
+    cuts = np.sort(r.integers(0, n + 1, 5))
+    pairs, counts, open_ = [], [], {}
+    for part, at in enumerate(np.split(np.arange(n), cuts)):
+        p, g = packing.brackets(gap[at])
+        pairs += zip(at[p].tolist(), at[g].tolist(), strict=True)
+        rest = np.setdiff1d(at, np.concatenate([at[p], at[g]]))
+        open_[part] = rest[gap[rest]], rest[~gap[rest]]
+        counts.append((part, len(open_[part][0]), len(open_[part][1])))
+    for gap_part, first, part, last, k, _ in packing.across(counts).tolist():
+        pairs += [(int(open_[part][1][last - j]), int(open_[gap_part][0][first + j])) for j in range(k)]
+    assert sorted(pairs) == want
+
+
+def best_fit_decreasing(sizes, n):
     gaps = []
-    for s in sorted((s for s in counts for _ in range(counts[s])), reverse=True):
+    for s in sorted(sizes, reverse=True):
         fit = [g for g in gaps if g >= s]
         if fit:
             gaps.remove(min(fit))
-            gaps.append(min(fit) - s)
-        else:
-            gaps.append(size - s)
-    assert len(used) == len(gaps)
+        gaps.append((min(fit) if fit else n) - s)
+    return len(gaps)
+
+
+def made_of(spark, sizes):
+    return spark.createDataFrame([(k, int(s)) for k, s in enumerate(sizes)], "pid bigint, length bigint").repartition(3)
+
+
+@pytest.mark.parametrize("low,high,many", [(1, 2047, 800), (3, 60, 1500), (300, 900, 700), (700, 700, 300), (5, 5, 900), (1, 500, 40)])
+def test_sequences_are_as_few_as_best_fit_decreasing_needs(low, high, many):
+    sizes = np.random.default_rng(low).integers(low, high + 1, many)
+    _, took, seq, *_ = packing.finish(np.arange(many), sizes, np.empty(0, np.int64), np.empty(0, np.int64), 0, 2048, 2048)
+    assert sorted(took) == sorted(sizes) and np.bincount(seq, took).max() <= 2048
+    assert np.unique(seq).size <= 1.01 * best_fit_decreasing(sizes.tolist(), 2048) + 1
+
+
+def test_seats_do_not_depend_on_the_ranges(spark):
+    r = np.random.default_rng(5)
+    sizes = np.concatenate([r.integers(1, 2048, 60), np.full(90, 700), r.integers(1, 30, 150)])
+    made, got = made_of(spark, sizes), []
+    for rows in (10_000, 120, 37):
+        seats = packing.seats_of(made, 2048, task_rows=rows).collect()
+        assert sorted(x["pid"] for x in seats) == list(range(sizes.size))
+        got.append(sorted(map(tuple, seats)))
+    assert got[0] == got[1] == got[2]
+
+
+def test_long_white_space_and_added_tokens():
+    for text in (" " * 2_000_000 + "a", "a <|endoftext|>b", "<|endoftext|>"):
+        assert packing.check_ids(PATH, text)
+    assert packing.token_ids(PATH, "a <|endoftext|>b").tolist() == [64, 220, 50256, 65]
 
 
 @pytest.mark.parametrize("n", [2048, 64])
