@@ -8,13 +8,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Bytes of an Arrow batch, by which long texts bound a batch before its number of rows does.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Puts the package's own folder on the workers' path, where nodes have it at the same place.
 
     On a cluster whose nodes don't, ship the package with ``--py-files`` or install it.
+    Arrow batches are bounded by BATCH_BYTES, unless the cluster's settings name a bound.
     """
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
