@@ -1,11 +1,17 @@
-"""Near copies by exact Jaccard similarity of distinct word shingles.
+"""Near copies by SimHash search and exact Jaccard similarity of distinct word shingles.
 
-Texts with a similarity of 4/5 share a shingle among the first ``n - ceil(4n/5) + 1`` of
-their ``n`` distinct shingles under any order common to all (prefix filter), so the pairs
-that meet there hold every near copy. The order puts shingles that a sample of documents
-repeats last; it changes the work, not the result. Where many texts meet at a shingle,
-they are first compared with one leader; after that only texts whose components differ
-are compared pairwise.
+The SimHash operator's vantage-point trees find the fingerprints within a few bits of each
+other; those pairs are decided by their shingles. Pairs at a similarity of 4/5 differ in
+about ten bits of 64, a radius at which the trees prune nothing, so the rest is found
+exactly by prefix filtering: texts with that similarity share a shingle among the first
+``n - ceil(4n/5) + 1`` of their ``n`` distinct shingles under any order common to all. The
+order puts shingles that a sample of documents repeats last; it changes the work, not the
+result.
+
+Texts that meet at a shingle are first compared with their neighbours there, by size and
+in a random order, which joins groups of copies whatever their size. After that only pairs
+from different components are formed: at a shingle the texts outside its commonest
+component against the others, and only where a pair hasn't met at the shingles just before.
 
 Shingles and texts are told apart by 64-bit hashes.
 """
@@ -20,10 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm import simhash
 from lodestrata.llm.components import components
-from lodestrata.llm.scratch import near, table
+from lodestrata.llm.scratch import near, place, shielded, table, unshielded
 
 SAMPLE = 20_000
+#: Shingles before the shared one by which a pair that met already is told.
+BEFORE = 3
+#: Candidates of a text that the neighbour round compares.
+CLOSEST = 2
 COMMON = 3
 MAX_COMMON = 1 << 18
 WORDS_KEPT = 1 << 20
@@ -64,9 +75,9 @@ def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return h[: h.size - -(-4 * h.size // 5) + 1]
 
 
-def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _nodes(docs: DataFrame, id_col: str, text_col: str, *row) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("node"), text.alias("t"))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), *[r.alias("row") for r in row], F.xxhash64(text).alias("node"), text.alias("t"))
 
 
 def _sets(words: int):
@@ -147,43 +158,120 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose similarity is 4/5 or more."""
+    """Those of ``pairs(a, b)`` whose similarity is 4/5 or more; ``nodes`` has a row a text."""
     named = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-named")
-    sets = table(_sets_of(nodes.join(near(named), "node", "left_semi").dropDuplicates(["node"]), words), "near-sets")
+    sets = table(_sets_of(nodes.join(near(named), "node", "left_semi"), words), "near-sets")
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def _searched(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """Pairs of texts whose fingerprints the trees link, each text of a fingerprint through its least one."""
+    marked = table(simhash.fingerprints(nodes, "node", "t", words), "near-fingerprints")
+    first = table(marked.groupBy("fp").agg(F.min("id").alias("first")), "near-first")
+    same = marked.join(first, "fp").where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    near_ = simhash.linked(first.select("fp"), radius)
+    ends = near_.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return same.unionByName(ends).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _neighbours(shared: DataFrame) -> DataFrame:
+    """Each text's candidates among those next to it, the ones that it meets most often."""
+    sides = shared.select("node", "n", "at", F.explode(F.array("by_size", "by_chance")).alias("o")).where("o.node IS NOT NULL")
+    met = sides.where(_may_match("sides", "o").replace("sides.", "")).groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("times"))
+    best = Window.partitionBy("node").orderBy(F.desc("times"), "other")
+    met = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= CLOSEST)
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair of texts of different components that meets at a shingle and may be near."""
+    order = Window.partitionBy("node").orderBy("at")
+    held = shared.select("h", "node", "n", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = held.withColumn("before", F.array_compact(F.array(*[F.lag("h", k).over(order) for k in range(1, BEFORE + 1)])))
+    held = table(held, "near-held")
+    counts = held.groupBy("h", "label").agg(F.count("*").alias("times"))
+    main = counts.groupBy("h").agg(F.max_by("label", F.struct("times", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = table(held.join(main.select("h", "main"), "h"), "near-open")
+    x, y = open_.where("label <> main").alias("x"), open_.alias("y")
+    once = "(y.label = y.main OR x.node < y.node) AND NOT arrays_overlap(x.before, y.before)"
+    pairs = x.join(y, F.expr(f"x.h = y.h AND x.label <> y.label AND {_may_match('x', 'y')} AND {once}"))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _labels(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """``(node, label)`` of the texts that have near copies."""
+    if not nodes.groupBy("node").count().where("count > 1").isEmpty():
+        nodes = table(nodes.select("node", "t").dropDuplicates(["node"]), "near-texts")
+    first = table(_verified(nodes, table(_searched(nodes, words, radius), "near-searched"), words), "near-links")
+
+    common, counts = _common(nodes, words)
+    rows = nodes.select("node", "t").mapInArrow(_prefixes(words, common, counts), "h bigint, node bigint, n int, at int")
+    text, meets = F.struct("node", "n", "at"), Window.partitionBy("h")
+    by_size, by_chance = meets.orderBy("n", "node"), meets.orderBy(F.xxhash64("node", "h"), "node")
+    rows = rows.withColumn("by_size", F.lead(text).over(by_size)).withColumn("last", F.lag("node").over(by_size).isNull())
+    rows = rows.where("by_size IS NOT NULL OR NOT last").drop("last").withColumn("by_chance", F.lead(text).over(by_chance))
+    shared = table(rows, "near-shared")
+
+    labels = components(first)
+    apart = _apart(table(_neighbours(shared), "near-pairs"), labels)
+    second = table(_verified(nodes, apart, words), "near-links")
+    known = first.unionByName(second)
+    labels = components(known)
+    third = _across(shared, labels).join(apart, ["a", "b"], "left_anti")
+    return table(components(known.unionByName(_verified(nodes, table(third, "near-pairs"), words))), "near-labels")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    x, y = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return table(both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-apart")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
     """``id, component_id`` per input row; component_id is the least id reachable over near copies.
 
     Near copies have a Jaccard similarity of 4/5 or more between their sets of ``words``-word
     shingles. A null text counts as empty, and texts without words are copies of each other.
-    Null ids never name a component unless all its ids are null. An empty table gives an
-    empty table.
+    Null ids never name a component unless all its ids are null. Whole texts are read,
+    however long; repeated rows are kept; other columns of the input aren't read. An empty
+    table gives an empty table. ``radius`` is that of the fingerprint search and doesn't
+    change the result.
     """
-    nodes = _nodes(docs, id_col, text_col)
-    common, counts = _common(nodes, words)
-    rows = nodes.select("node", "t").mapInArrow(_prefixes(words, common, counts), "h bigint, node bigint, n int, at int")
-    met = Window.partitionBy("h").orderBy("n", "node")
-    rows = rows.withColumn("lead", F.first(F.struct("node", "n", "at")).over(met)).withColumn("next", F.lead("node").over(met))
-    shared = table(rows.where("next IS NOT NULL OR lead.node <> node").drop("next"), "near-shared")
-
-    one = shared.alias("s").where(_may_match("s", "lead")).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-    one = table(one.distinct(), "near-pairs")
-    links = table(_verified(nodes, one, words), "near-links")
-    labels = components(links)
-    held = shared.join(labels, "node", "left").select("h", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-    held = table(held, "near-held")
-    split = held.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    open_ = table(held.join(split, "h", "left_semi"), "near-open")
-    two = open_.alias("x").join(open_.alias("y"), F.expr(f"x.h = y.h AND x.node < y.node AND x.label <> y.label AND {_may_match('x', 'y')}"))
-    two = two.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
-    more = _verified(nodes, table(two, "near-pairs"), words)
-
-    labels = table(components(links.unionByName(more)), "near-labels")
-    wordless = ~F.col("t").rlike(r"[^ \t-\r]")
-    marked = nodes.select("id", F.when(wordless, F.lit(None)).otherwise(F.col("node")).alias("node"))
-    marked = table(marked.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label")), "near-marked")
+    marked = _marked(_nodes(docs, id_col, text_col), words, radius)
     names = marked.groupBy("label").agg(F.min("id").alias("component_id"))
     return marked.join(names, marked["label"].eqNullSafe(names["label"])).select("id", "component_id")
+
+
+def _marked(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """The rows with their component's label, null for texts without words."""
+    labels = _labels(nodes, words, radius)
+    wordless = ~F.col("t").rlike(r"[^ \t-\r]")
+    marked = nodes.withColumn("text_node", F.col("node")).withColumn("node", F.when(~wordless, F.col("node"))).drop("t")
+    marked = marked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return table(marked.drop("node"), "near-marked")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near copies.
+
+    It is the row with the least id, null ids last; among rows that share that id the one
+    with the least hash of text, then of the whole row; of rows that are equal in every
+    column one. The decision is a row's: another text with an id that stays elsewhere
+    goes. All columns are returned, whatever their names. For the rest see
+    ``near_components``.
+    """
+    rows = shielded(docs)
+    whole = F.xxhash64(*[F.col(c) for c in rows.columns])
+    own = rows.withColumn("row", whole).withColumn("node", F.xxhash64(F.coalesce(F.col(place(docs, text_col)), F.lit(""))))
+    nodes = _nodes(rows, place(docs, id_col), place(docs, text_col), whole)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_node", "row")
+    marked = _marked(nodes, words, radius).groupBy("label", rank.alias("rank")).agg(F.count("*").alias("times"))
+    first = marked.groupBy("label").agg(F.min_by(F.struct("rank.*", "times"), "rank").alias("f")).select("f.id", F.col("f.text_node").alias("node"), "f.row", "f.times")
+    first = table(first, "near-stays")
+    stay = own.join(first, own[place(docs, id_col)].cast("bigint").eqNullSafe(first["id"]) & (own["node"] == first["node"]) & (own["row"] == first["row"]))
+    alone = stay.where("times = 1").select(*rows.columns)
+    if not first.where("times > 1").isEmpty():
+        alone = alone.unionByName(stay.where("times > 1").dropDuplicates(["node", "row"]).select(*rows.columns))
+    return unshielded(alone, docs.columns)
