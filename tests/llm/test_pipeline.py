@@ -20,8 +20,9 @@ def test_queries_with_sql(spark):
 
 def test_stages_feed_each_other(spark):
     import corpus_pipeline
-    from lodestrata.llm import gracededup, simhash
+    from lodestrata.llm import gracededup
     from lodestrata.llm.scratch import table
+    from test_nearcopies import labels as near_labels
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     seen = {}
@@ -35,8 +36,8 @@ def test_stages_feed_each_other(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "pack"]
     texts = [r["text"] for r in seen["quality"].collect()]
     assert len({*texts}) == seen["exact"].count() == seen["exact"].select("text").distinct().count()
-    groups = simhash.simhash_components(seen["exact"], words=5)
-    assert seen["near"].count() == groups.select("component_id").distinct().count()
+    alike = near_labels([(r["doc_id"], r["text"]) for r in seen["exact"].collect()])
+    assert sorted(r["doc_id"] for r in seen["near"].collect()) == sorted({*alike.values()})
     pieces = seen["pack"]
     assert pieces.select("doc_id").distinct().count() == seen["mix"].select("doc_id").distinct().count()
     assert pieces.where("start = 0").count() == seen["mix"].count()
@@ -54,6 +55,32 @@ def test_rows_whose_ids_are_null_or_repeat(spark):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_near_decides_by_row(spark):
+    import corpus_pipeline
+    from cases import SCHEMA, prose
+
+    text, other = prose(1, 60), prose(2, 60)
+    rows = [(1, text, "a", None, 1), (2, text, "b", "s", 1), (None, text, "c", "s", 1), (None, text, "c", "s", 1), (5, text, "d", "s", 1), (5, other, "e", "s", 1), (None, "x y", "f", "s", 1), (None, "x y", "f", "s", 1)]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((str(r["doc_id"]), r["lang"]) for r in got) == [("1", "a"), ("5", "e"), ("None", "f")]
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark, empty):
+    import corpus_pipeline
+    from cases import SCHEMA, corpus
+
+    docs = spark.createDataFrame([r for r in corpus() if r[1] and len(r[1]) < 9_000], SCHEMA)
+    names = ["kept", "keep_id", "GROUP_SIZE", "text_sha256", "quality_score", "node", "row", "label", "times", "h", "id", "t", "shard", "cuts", "prio"]
+    odd = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, "")
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in names), name
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
 def test_the_rest_stands_without_this_subpackage(tmp_path):
     import shutil
     import subprocess
