@@ -9,7 +9,7 @@ order puts shingles that a sample of documents repeats last; it changes the work
 result.
 
 Texts that meet at a shingle are first compared with their neighbours there, by size and
-in a random order, which joins groups of copies whatever their size. After that only pairs
+in random orders, in two rounds, which joins groups of copies whatever their size. After that only pairs
 from different components are formed: at a shingle the texts outside its commonest
 component against the others, and only where a pair hasn't met at the shingles just before.
 
@@ -19,6 +19,7 @@ Shingles and texts are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SAMPLE = 20_000
 BEFORE = 3
 #: Candidates of a text that the neighbour round compares.
 CLOSEST = 2
+#: Pairs of numbers that are broadcast at most, some 16 MB.
+NAMED = 1_000_000
 COMMON = 3
 MAX_COMMON = 1 << 18
 WORDS_KEPT = 1 << 20
@@ -145,24 +148,30 @@ def _may_match(a: str, b: str) -> str:
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``a, node, hs`` sorted by a, its own set first, the pairs that are near."""
+    now = own = None
     for b in batches:
-        ends_x, flat_x = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
-        ends_y, flat_y = b.column(3).offsets.to_numpy(), b.column(3).values.to_numpy()
-        same = np.zeros(b.num_rows, dtype=bool)
-        for k in range(b.num_rows):
-            x, y = flat_x[ends_x[k] : ends_x[k + 1]], flat_y[ends_y[k] : ends_y[k + 1]]
-            both = np.intersect1d(x, y, assume_unique=True).size
-            same[k] = 9 * both >= 4 * (x.size + y.size)
-        keep = pa.array(same)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+        first, other, ends, flat = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+        found: list[tuple[int, int]] = []
+        for k, (a, node) in enumerate(zip(first, other, strict=True)):
+            hs = flat[ends[k] : ends[k + 1]]
+            if a == node:
+                now, own = a, hs.copy()
+            elif a == now and 9 * np.intersect1d(own, hs, assume_unique=True).size >= 4 * (own.size + hs.size):
+                found.append((a, node))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
 
 def _verified(nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose similarity is 4/5 or more; ``nodes`` has a row a text."""
+    """Those of ``pairs(a, b)`` whose similarity is 4/5 or more; ``nodes`` has a row a text.
+
+    The sets of a text's partners are sent to its own set, once a pair.
+    """
     named = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-named")
-    sets = table(_sets_of(nodes.join(near(named), "node", "left_semi"), words), "near-sets")
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree, "a bigint, b bigint")
+    sets = table(_sets_of(nodes.join(near(named, NAMED), "node", "left_semi"), words), "near-sets")
+    ends = pairs.select("a", F.col("a").alias("node")).distinct().unionByName(pairs.select("a", F.col("b").alias("node")))
+    sent = sets.join(near(table(ends, "near-ends"), NAMED), "node").select("a", "node", "hs")
+    return sent.repartition("a").sortWithinPartitions("a", F.col("node") != F.col("a")).mapInArrow(_agree, "a bigint, b bigint")
 
 
 def _searched(nodes: DataFrame, words: int, radius: int) -> DataFrame:
@@ -175,10 +184,10 @@ def _searched(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     return same.unionByName(ends).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _neighbours(shared: DataFrame) -> DataFrame:
+def _neighbours(shared: DataFrame, *sides: str) -> DataFrame:
     """Each text's candidates among those next to it, the ones that it meets most often."""
-    sides = shared.select("node", "n", "at", F.explode(F.array("by_size", "by_chance")).alias("o")).where("o.node IS NOT NULL")
-    met = sides.where(_may_match("sides", "o").replace("sides.", "")).groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("times"))
+    met = shared.select("node", "n", "at", F.explode(F.array(*sides)).alias("o")).where("o.node IS NOT NULL").alias("x")
+    met = met.where(_may_match("x", "x.o")).groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("times"))
     best = Window.partitionBy("node").orderBy(F.desc("times"), "other")
     met = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= CLOSEST)
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -208,23 +217,30 @@ def _labels(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     common, counts = _common(nodes, words)
     rows = nodes.select("node", "t").mapInArrow(_prefixes(words, common, counts), "h bigint, node bigint, n int, at int")
     text, meets = F.struct("node", "n", "at"), Window.partitionBy("h")
-    by_size, by_chance = meets.orderBy("n", "node"), meets.orderBy(F.xxhash64("node", "h"), "node")
+    by_size = meets.orderBy("n", "node")
     rows = rows.withColumn("by_size", F.lead(text).over(by_size)).withColumn("last", F.lag("node").over(by_size).isNull())
-    rows = rows.where("by_size IS NOT NULL OR NOT last").drop("last").withColumn("by_chance", F.lead(text).over(by_chance))
+    rows = rows.where("by_size IS NOT NULL OR NOT last").drop("last")
+    for k in range(3):
+        rows = rows.withColumn(f"chance_{k}", F.lead(text).over(meets.orderBy(F.xxhash64("node", "h", F.lit(k)), "node")))
     shared = table(rows, "near-shared")
 
-    labels = components(first)
-    apart = _apart(table(_neighbours(shared), "near-pairs"), labels)
-    second = table(_verified(nodes, apart, words), "near-links")
-    known = first.unionByName(second)
-    labels = components(known)
-    third = _across(shared, labels).join(apart, ["a", "b"], "left_anti")
-    return table(components(known.unionByName(_verified(nodes, table(third, "near-pairs"), words))), "near-labels")
+    known, tried = [first], []
+    for sides in (("by_size", "chance_0"), ("chance_1", "chance_2")):
+        apart = _apart(_neighbours(shared, *sides), components(_union(known)))
+        known.append(table(_verified(nodes, apart, words), "near-links"))
+        tried.append(apart)
+    rest = _across(shared, components(_union(known))).join(_union(tried).distinct(), ["a", "b"], "left_anti")
+    known.append(_verified(nodes, table(rest, "near-pairs"), words))
+    return table(components(_union(known)), "near-labels")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
-    x, y = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    pairs, x, y = table(pairs, "near-pairs"), labels.toDF("a", "la"), labels.toDF("b", "lb")
     both = pairs.join(x, "a", "left").join(y, "b", "left")
     return table(both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "near-apart")
 

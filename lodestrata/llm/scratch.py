@@ -37,9 +37,9 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def near(small: DataFrame) -> DataFrame:
-    """A broadcast hint for a materialised table of at most SMALL_ROWS rows; beyond that the join is shuffled."""
-    return F.broadcast(small) if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else small
+def near(small: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A broadcast hint for a materialised table of at most so many ``rows``; beyond that the join is shuffled."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
 def shielded(docs: DataFrame) -> DataFrame:
