@@ -1,10 +1,12 @@
 """Mixing sources to target weights: DataFrame and SQL functions only.
 
-Every document has a priority (a keyed md5 prefix), so the documents of a source in
-priority order are a fixed random permutation and equal priority ranges are random
-blocks. A source's word target is met by whole passes over its blocks and one partial
-pass over blocks in permuted order, cut inside a single block by refining that block's
-priority range twice and topped up with the few documents that fit what is left. The resulting exact block quotas are split down a binary tree
+Every document has a priority (a keyed md5 prefix of its id, source, text and, among rows
+equal in these, its number), so the documents of a source in priority order are a fixed
+random permutation and equal priority ranges are random blocks. A source's word target is
+met by whole passes over its blocks and one partial pass over blocks in permuted order,
+cut inside a single block by refining that block's priority range twice. Where a document
+that is too large stops the cut, further rounds go on over the untaken documents that
+still fit. The resulting exact block quotas are split down a binary tree
 over the output shards: at each node the left half's count of every source is a
 hypergeometric draw given what the sources before it took (inverse distribution
 function, uniform keyed by node and source). A shard then takes its disjoint range of
@@ -12,7 +14,7 @@ each source's permuted draws and shuffles locally.
 
 The number of shards grows with the corpus (``SHARD_WORDS`` words each) and blocks a
 source are at least sixteen times the shards, so quotas stay fine-grained at any size.
-Side tables have a row a source, or a row a source and block.
+Side tables have a row a source, or a row a source and block that holds documents.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from lodestrata.llm.scratch import near, place, shielded, table, unshielded
 PRIORITY_BITS = 60
 BLOCK_BITS = (6, 18)
 FINE_BITS = 10
-FILLERS = 3
+#: Rounds of the partial pass.
+ROUNDS = 5
 SHARD_WORDS = 4_000_000
 LEVELS = (2, 18)
 MAX_COPIES = 3
@@ -47,7 +50,11 @@ def word_count(text: Column) -> Column:
 
 @dataclass
 class Mix:
-    """``sources``: source, source_size, target, passes; ``draws``: source, block, cuts (one per draw of the block: epoch, shard, cut, extra)."""
+    """``sources``: source, source_size, target, passes; ``draws``: source, block, cuts (one per draw of the block: epoch, shard, rounds).
+
+    ``rounds`` are the (most, cut) of the partial pass: a document of at most ``most`` words
+    is drawn up to the priority ``cut``. A whole pass has none.
+    """
 
     sources: DataFrame
     draws: DataFrame
@@ -56,10 +63,10 @@ class Mix:
     bits: int
 
     def draws_of(self, sized: DataFrame) -> DataFrame:
-        """``sized(source_key, prio, ...)`` with its source's size and target, and ``cuts``: an entry a copy that the mix takes."""
+        """``sized(source_key, prio, size, ...)`` with its source's size and target, and ``cuts``: an entry a copy that the mix takes."""
         plan = self.sources.join(self.draws, "source_key").select("source_key", "block", "source_size", "target", "cuts")
         out = sized.withColumn("block", _block(F.col("prio"), self.bits)).join(near(table(plan, "mix-plan")), ["source_key", "block"], "left")
-        return out.withColumn("cuts", F.expr("filter(cuts, c -> prio <= c.cut OR array_contains(c.extra, prio))"))
+        return out.withColumn("cuts", F.expr("filter(cuts, c -> c.rounds IS NULL OR exists(c.rounds, r -> size <= r.most AND prio <= r.cut))"))
 
 
 def source_key(source: Column) -> Column:
@@ -67,6 +74,30 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def _prioritised(rows: DataFrame, seed: str, id_: str, text: str) -> DataFrame:
+    """``rows(source_key, ...)`` with ``prio``.
+
+    Rows that are equal in id, source and text are numbered, so that they are drawn one by
+    one: first within their partition, then on from the counts of the partitions before,
+    so that no task holds all of a row's repeats.
+    """
+    rows = rows.withColumn("body", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    own = ["source_key", "body", "who"]
+    rows = rows.withColumn("who", F.coalesce(F.col(id_).cast("string"), F.lit("")))
+    repeats = rows.groupBy(*own).agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    prio = keyed(seed, F.col("who"), F.col("source_key"), F.col("body"), F.col("number"))
+    if repeats.isEmpty():
+        return rows.withColumn("number", F.lit(0)).withColumn("prio", prio).drop("body", "who", "number")
+    repeats = near(table(repeats, "mix-repeats"))
+    many = rows.join(repeats, own, "left_semi").withColumn("part", F.spark_partition_id())
+    many = table(many.withColumn("number", F.row_number().over(Window.partitionBy(*own, "part").orderBy("part")) - 1), "mix-many")
+    counts = many.groupBy(*own, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    many = many.join(counts.withColumn("before", before).drop("n"), [*own, "part"]).withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
+    single = rows.join(repeats, own, "left_anti").withColumn("number", F.lit(0).cast("bigint"))
+    return single.unionByName(many).withColumn("prio", prio).drop("body", "who", "number")
+
+
 def _block(prio: Column, bits: int) -> Column:
     return F.shiftright(prio, PRIORITY_BITS - bits).cast("int")
 
@@ -99,49 +130,44 @@ def _targets(sized: DataFrame) -> DataFrame:
 
 
 def _cut(sized: DataFrame, sources: DataFrame, seed: str, bits: int) -> DataFrame:
-    """Per source and block of the partial pass: the largest priority that it takes (-1: none), and single ones beyond it."""
-    blocks = sized.withColumn("block", _block(F.col("prio"), bits)).groupBy("source_key", "block").agg(F.sum("size").alias("n"))
+    """``rounds`` of (most, cut) per source and occupied block: what the partial pass takes of it.
+
+    In a round a source's open documents of at most ``most`` words, what is still short, are
+    taken in block and priority order until the next one doesn't fit. Rounds end when
+    nothing that fits is left, after ROUNDS at the latest.
+    """
+    docs = sized.withColumn("block", _block(F.col("prio"), bits))
     order = Window.partitionBy("source_key").orderBy(keyed(seed, "block", F.col("source_key"), F.col("block")), "block")
-    blocks = blocks.join(sources, "source_key").withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    blocks = blocks.withColumn("after", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = table(blocks.select("source_key", "block", "n", (F.col("rest") - F.col("after") + F.col("n")).alias("room")), "mix-blocks")
-    edge = blocks.where("room > 0 AND room < n").select("source_key", "block", "room")
-    fine = F.shiftright(F.col("prio"), PRIORITY_BITS - bits - FINE_BITS)
-    inside = sized.withColumn("block", _block(F.col("prio"), bits)).join(near(edge), ["source_key", "block"])
-    inside = table(inside.select("source_key", "block", "room", "prio", "size", fine.alias("fine")), "mix-edge")
     in_order = Window.partitionBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
-    parts = inside.groupBy("source_key", "block", "room", "fine").agg(F.sum("size").alias("n"))
-    parts = parts.withColumn("room", F.col("room") - F.sum("n").over(in_order.orderBy("fine")) + F.col("n"))
-    at = parts.where("room >= 0").groupBy("source_key", "block").agg(F.max_by(F.struct("fine", "room"), F.col("fine")).alias("e"))
-    at = at.select("source_key", "block", F.col("e.fine").alias("fine"), F.col("e.room").alias("left"))
-    tied = inside.join(at, ["source_key", "block", "fine"]).groupBy("source_key", "block", "left", "fine", "prio").agg(F.sum("size").alias("n"))
-    tied = tied.withColumn("upto", F.sum("n").over(in_order.orderBy("prio")))
-    low = F.shiftleft(F.col("fine"), PRIORITY_BITS - bits - FINE_BITS) - 1
-    last = tied.groupBy("source_key", "block", low.alias("low"), "left").agg(
-        F.max(F.when(F.col("upto") <= F.col("left"), F.struct("prio", "upto"))).alias("e")
-    )
-    last = last.select("source_key", "block", F.coalesce("e.prio", "low").alias("cut"), (F.col("left") - F.coalesce("e.upto", F.lit(0))).alias("short"))
-    whole = F.when(F.col("room") >= F.col("n"), F.when(F.col("room") > 0, F.lit(1 << PRIORITY_BITS)).otherwise(F.lit(-1)))
-    cuts = blocks.join(last, ["source_key", "block"], "left").select("source_key", "block", F.coalesce(whole, "cut", F.lit(-1)).alias("cut"))
-    return _fill(sized, table(cuts, "mix-cuts"), last.select("source_key", "short"), bits)
-
-
-def _fill(sized: DataFrame, cuts: DataFrame, short: DataFrame, bits: int) -> DataFrame:
-    """Adds ``extra``: up to FILLERS untaken documents a source whose sizes come nearest to what its cut leaves short."""
-    short = table(short.withColumn("extra", F.expr("CAST(array() AS ARRAY<BIGINT>)")), "mix-short")
-    spare = sized.withColumn("block", _block(F.col("prio"), bits)).join(near(cuts), ["source_key", "block"]).where("prio > cut AND size > 0")
-    spare = spare.select("source_key", "prio", "size")
-    for _ in range(FILLERS):
-        fits = spare.join(near(short), "source_key").where("size < 2 * short AND NOT array_contains(extra, prio)")
-        best = fits.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "prio", "size")).alias("e"))
-        short = short.join(best, "source_key", "left").select(
-            "source_key",
-            (F.col("short") - F.coalesce("e.size", F.lit(0))).alias("short"),
-            F.when(F.col("e").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("e.prio"))).alias("extra"),
-        )
-        short = table(short, "mix-short")
-    extra = short.select("source_key", F.explode("extra").alias("p")).groupBy("source_key", _block(F.col("p"), bits).alias("block")).agg(F.collect_list("p").alias("extra"))
-    return cuts.join(extra, ["source_key", "block"], "left").withColumn("extra", F.coalesce("extra", F.expr("CAST(array() AS ARRAY<BIGINT>)")))
+    fine, low = PRIORITY_BITS - bits - FINE_BITS, PRIORITY_BITS - bits
+    short = sources.select("source_key", (F.col("target") - F.col("passes") * F.col("source_size")).alias("short"))
+    taken = table(docs.select("source_key", "block").distinct().withColumn("rounds", F.expr("CAST(array() AS ARRAY<STRUCT<most: DOUBLE, cut: BIGINT>>)")), "mix-taken")
+    for _ in range(ROUNDS):
+        fits = docs.join(near(short), "source_key").where("size > 0 AND size <= short").join(near(taken), ["source_key", "block"])
+        fits = fits.where("NOT exists(rounds, r -> size <= r.most AND prio <= r.cut)").select("source_key", "block", "prio", "size", "short")
+        blocks = fits.groupBy("source_key", "block", "short").agg(F.sum("size").alias("n"))
+        blocks = blocks.withColumn("room", F.col("short") - F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("n"))
+        blocks = table(blocks, "mix-blocks")
+        if blocks.isEmpty():
+            break
+        edge = blocks.where("room > 0 AND room < n").select("source_key", "block", "room")
+        inside = fits.join(near(edge), ["source_key", "block"]).withColumn("fine", F.shiftright("prio", fine))
+        inside = table(inside.select("source_key", "block", "room", "prio", "size", "fine"), "mix-edge")
+        parts = inside.groupBy("source_key", "block", "room", "fine").agg(F.sum("size").alias("n"))
+        parts = parts.withColumn("room", F.col("room") - F.sum("n").over(in_order.orderBy("fine")) + F.col("n"))
+        at = parts.where("room >= 0").groupBy("source_key", "block").agg(F.max_by(F.struct("fine", "room"), F.col("fine")).alias("e"))
+        at = at.select("source_key", "block", F.col("e.fine").alias("fine"), F.col("e.room").alias("room"))
+        last = inside.drop("room").join(at, ["source_key", "block", "fine"]).withColumn("upto", F.sum("size").over(in_order.orderBy("prio")))
+        last = last.groupBy("source_key", "block", "fine").agg(F.max(F.when(F.col("upto") <= F.col("room"), F.col("prio"))).alias("cut"))
+        last = last.select("source_key", "block", F.coalesce("cut", F.shiftleft("fine", fine) - 1).alias("cut"))
+        whole = F.when(F.col("room") >= F.col("n"), F.lit(1 << PRIORITY_BITS)).when(F.col("room") <= 0, F.lit(-1))
+        now = blocks.join(last, ["source_key", "block"], "left").select("source_key", "block", "short", F.coalesce(whole, "cut", F.shiftleft(F.col("block").cast("bigint"), low) - 1).alias("cut"))
+        now = table(now, "mix-cuts")
+        got = fits.drop("short").join(near(now), ["source_key", "block"]).where("prio <= cut").groupBy("source_key").agg(F.sum("size").alias("got"))
+        step = F.when(F.col("cut").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(F.struct(F.col("short").cast("double").alias("most"), "cut"))))
+        taken = table(taken.join(now, ["source_key", "block"], "left").select("source_key", "block", step.alias("rounds")), "mix-taken")
+        short = table(short.join(got, "source_key", "left").select("source_key", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short")), "mix-short")
+    return taken
 
 
 def _hyper(all_: str, own: str, want: str, u: str) -> str:
@@ -183,64 +209,71 @@ def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
     return nodes.select(F.col("node").cast("int").alias("shard"), F.explode("qs").alias("x")).select("x.source_key", "shard", "x.q")
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> Mix:
-    sized = docs.select(source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), keyed(seed, F.col(id_col)).alias("prio"))
-    return _plan(table(sized, "mix-sizes"), seed)
+def _sized(docs: DataFrame, source: str, text: str) -> DataFrame:
+    return docs.withColumn("source_key", source_key(F.col(source))).withColumn("size", word_count(F.col(text)))
 
 
 def _plan(sized: DataFrame, seed: str) -> Mix:
+    """The plan for ``sized(source_key, size, prio)``, a written table."""
     sources = table(_targets(sized), "mix-targets")
     levels, bits = _grain(int(sources.agg(F.sum("source_size")).first()[0] or 0))
     cuts = _cut(sized, sources, seed, bits)
-    span = F.expr(f"explode(sequence(0, {(1 << bits) - 1}))").alias("block")
-    grid = sources.select("source_key", "passes", span).join(cuts, ["source_key", "block"], "left")
     every = F.transform(
         F.sequence(F.lit(0), F.col("passes")),
-        lambda e: F.struct(
-            e.alias("epoch"),
-            F.when(e < F.col("passes"), F.lit(1 << PRIORITY_BITS)).otherwise(F.coalesce("cut", F.lit(-1))).alias("cut"),
-            F.when(e == F.col("passes"), F.col("extra")).alias("extra"),
-        ),
+        lambda e: F.struct(e.alias("epoch"), F.when(e == F.col("passes"), F.col("rounds")).alias("rounds")),
     )
-    drawn = grid.select("source_key", "block", F.explode(every).alias("d")).select("source_key", "block", "d.*").where("cut >= 0 OR size(extra) > 0")
+    drawn = sources.select("source_key", "passes").join(cuts, "source_key").select("source_key", "block", F.explode(every).alias("d"))
+    drawn = drawn.select("source_key", "block", "d.*").where("rounds IS NULL OR exists(rounds, r -> r.cut >= 0)")
     order = Window.partitionBy("source_key").orderBy("epoch", keyed(seed, "order", F.col("source_key"), F.col("epoch"), F.col("block")), "block")
     drawn = table(drawn.withColumn("at", F.row_number().over(order)), "mix-draws")
     shards = split_quotas(drawn.groupBy("source_key").agg(F.count("*").alias("q")), levels, seed)
     upto = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     ranges = shards.withColumn("to", F.sum("q").over(upto)).select("source_key", F.col("shard"), (F.col("to") - F.col("q")).alias("from"), "to")
     placed = drawn.join(ranges, "source_key").where("at > from AND at <= to")
-    draws = placed.groupBy("source_key", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "cut", "extra"))).alias("cuts"))
-    grid = sources.select("source_key", span).join(draws, ["source_key", "block"], "left")
+    draws = placed.groupBy("source_key", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "rounds"))).alias("cuts"))
+    grid = cuts.select("source_key", "block").join(draws, ["source_key", "block"], "left")
     return Mix(sources, table(grid, "mix-grid"), seed, levels, bits)
 
 
 def mix_takes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per input row.
 
-    Size is the number of words (null text: 0). Targets share the total of all sizes by the
-    weights 1, 2, 3 over sources in code point order (null last); none exceeds three times
-    its source's size. ``taken`` is the size times the number of copies drawn (0 to 3). A
-    source misses its target by less than its smallest untaken document, usually by a few words. Repeated rows and ids
-    share a priority and are drawn alike. An empty table gives an empty table; a corpus
-    without words has targets and takes of zero. Reruns give the same rows.
+    Size is the number of words of the whole text (null text: 0). Targets share the total
+    of all sizes by the weights 1, 2, 3 over sources in code point order (null last); none
+    exceeds three times its source's size. ``taken`` is the size times the number of copies
+    drawn (0 to 3). A source falls short of its target by less than its smallest untaken
+    document, unless ROUNDS rounds of passing over too large ones leave more. Repeated rows
+    and ids, null ids among them, are drawn one by one. Other columns aren't read. An empty
+    table gives an empty table; a corpus without words has targets and takes of zero.
+    Reruns give the same rows.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), keyed(seed, F.col(id_col)).alias("prio"))
-    sized = table(sized, "mix-sizes")
-    mix = _plan(sized.select("source_key", "size", "prio"), seed)
-    out = mix.draws_of(sized)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("s"), F.col(text_col).alias("t"))
+    sized = table(_prioritised(_sized(rows, "s", "t"), seed, "doc_id", "t").drop("s", "t"), "mix-sizes")
+    out = _plan(sized.select("source_key", "size", "prio"), seed).draws_of(sized)
     copies = F.coalesce(F.size("cuts"), F.lit(0))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
+def _dealt(spark, shards: int) -> Column:
+    """A number for ``shard`` that hash partitioning puts into a partition of its own, for up to 4,096 shards."""
+    if shards > 4096:
+        return F.col("shard")
+    tries = spark.range(shards * 20).select(F.col("id").cast("int").alias("v"))
+    found = {r["p"]: r["v"] for r in tries.groupBy(F.pmod(F.hash("v"), F.lit(shards)).alias("p")).agg(F.min("v").alias("v")).collect()}
+    return F.element_at(F.array(*[F.lit(found.get(k, -1 - k)) for k in range(shards)]), F.col("shard") + 1)
+
+
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """The mixed corpus: each document as often as it is drawn, dealt to its shards and shuffled there.
 
-    Returns the columns of ``docs``; documents that the mix doesn't take are absent. A document
-    without words is taken as often as its block is.
+    Returns the columns of ``docs``, whatever their names; documents that the mix doesn't take are absent. A document
+    without words is taken as often as its block is. For the rest see ``mix_takes``.
     """
-    mix = plan_mix(docs, id_col, source_col, text_col, seed)
-    rows = shielded(docs).withColumn("source_key", source_key(F.col(place(docs, source_col)))).withColumn("prio", keyed(seed, F.col(place(docs, id_col))))
+    source, text = place(docs, source_col), place(docs, text_col)
+    rows = _prioritised(_sized(shielded(docs), source, text), seed, place(docs, id_col), text)
+    mix = _plan(table(rows.select("source_key", "size", "prio"), "mix-sizes"), seed)
     taken = mix.draws_of(rows).withColumn("draw", F.explode("cuts"))
     taken = taken.withColumn("shard", F.col("draw.shard")).withColumn("order", keyed(seed, "shuffle", F.col("prio"), F.col("draw.epoch")))
-    dealt = taken.select(*[c for c in rows.columns if c.startswith("in_")], "shard", "order").repartition(1 << mix.levels, "shard")
+    taken = taken.withColumn("dealt", _dealt(docs.sparkSession, 1 << mix.levels))
+    dealt = taken.select(*[c for c in rows.columns if c.startswith("in_")], "shard", "order", "dealt").repartition(1 << mix.levels, "dealt")
     return unshielded(dealt.sortWithinPartitions("shard", "order"), docs.columns)

@@ -39,38 +39,32 @@ def _key(*parts: str) -> str:
     return f"CAST('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 15) AS BIGINT)"
 
 
-def _filler(k: int) -> str:
-    """One round of topping up: the untaken document whose size comes nearest to what is short."""
+def _round(k: int) -> str:
+    """One round of the partial pass: open documents that fit what is short, in block and priority order, until the next doesn't."""
     return f"""
-f{k} AS (SELECT p.key, arg_min({{'prio': p.prio, 'size': p.size}}, (abs(h.short - p.size), p.prio, p.size)) AS e FROM spare p JOIN h{k} h ON h.key = p.key WHERE p.size < 2 * h.short AND NOT list_contains(h.extra, p.prio) GROUP BY p.key),
-h{k + 1} AS (SELECT h.key, h.short - coalesce(f.e.size, 0) AS short, CASE WHEN f.e IS NULL THEN h.extra ELSE list_append(h.extra, f.e.prio) END AS extra FROM h{k} h LEFT JOIN f{k} f ON f.key = h.key)"""
+f{k} AS (SELECT e.key, block, prio, size, short FROM e JOIN h{k} h ON h.key = e.key WHERE size > 0 AND size <= short AND NOT EXISTS (FROM g{k} WHERE g{k}.prio = e.prio AND g{k}.key = e.key)),
+w{k} AS (SELECT key, prio, size, short, sum(size) OVER (PARTITION BY key ORDER BY {_key("'mix'", "'block'", "key", "CAST(block AS VARCHAR)")}, block, prio ROWS UNBOUNDED PRECEDING) AS upto FROM f{k}),
+t{k} AS (SELECT key, prio, size FROM w{k} WHERE upto <= short),
+g{k + 1} AS (SELECT key, prio FROM g{k} UNION ALL SELECT key, prio FROM t{k}),
+h{k + 1} AS (SELECT h.key, short - coalesce(got, 0) AS short FROM h{k} h LEFT JOIN (SELECT key, sum(size) AS got FROM t{k} GROUP BY key) x ON x.key = h.key),"""
 
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, {_key("'mix'", "coalesce(CAST(doc_id AS VARCHAR), '')")} AS prio FROM documents),
+WITH r AS (SELECT doc_id, coalesce('0' || source, '1') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), '') AS who, md5(coalesce(text, '')) AS body FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, who, body) - 1 AS number FROM r),
+d AS (SELECT doc_id, key, size, {_key("'mix'", "who", "key", "body", "CAST(number AS VARCHAR)")} AS prio FROM n),
 p AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key),
 w AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY key) - 1) % 3 + 1] AS w, sum(source_size) OVER () AS total FROM p),
 x AS (SELECT *, 3 * source_size * (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) <= (total - coalesce(sum(3 * source_size) OVER b, 0)) * w AS capped FROM w WINDOW b AS (ORDER BY source_size * 6 / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT key, source_size, CASE WHEN source_size = 0 THEN 0 WHEN capped THEN CAST(3 * source_size AS DOUBLE)
   ELSE CAST(total - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER () AS DOUBLE) * w / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target FROM x),
 s AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(CAST(floor(target / greatest(source_size, 1)) AS INT), 3) END AS passes FROM t),
-g AS (SELECT greatest(6, least(18, 4 + greatest(2, least(18, CASE WHEN z = 0 THEN 0 ELSE length(bin(z)) END)))) AS bits FROM (SELECT CAST(sum(source_size) // 4000000 AS BIGINT) AS z FROM p)),
-e AS (SELECT d.*, CAST(prio >> (60 - bits) AS BIGINT) AS block, prio >> (50 - bits) AS fine, bits FROM d, g),
-b1 AS (SELECT key, block, sum(size) AS n FROM e GROUP BY ALL),
-b2 AS (SELECT b1.*, target - passes * source_size AS rest, sum(n) OVER (PARTITION BY key ORDER BY {_key("'mix'", "'block'", "key", "CAST(block AS VARCHAR)")}, block ROWS UNBOUNDED PRECEDING) AS after FROM b1 JOIN s USING (key)),
-b3 AS (SELECT key, block, n, rest - after + n AS room FROM b2),
-i AS (SELECT e.key, e.block, room, prio, size, fine, bits FROM e JOIN b3 USING (key, block) WHERE room > 0 AND room < n),
-q AS (SELECT key, block, room, fine, bits, sum(size) AS n FROM i GROUP BY ALL),
-q2 AS (SELECT *, room - sum(n) OVER (PARTITION BY key ORDER BY fine ROWS UNBOUNDED PRECEDING) + n AS over FROM q),
-a AS (SELECT key, block, bits, max(fine) AS fine, arg_max(over, fine) AS rest FROM q2 WHERE over >= 0 GROUP BY ALL),
-y AS (SELECT key, block, fine, bits, rest, prio, sum(size) AS n FROM i JOIN a USING (key, block, fine, bits) GROUP BY ALL),
-y2 AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY prio ROWS UNBOUNDED PRECEDING) AS upto FROM y),
-z AS (SELECT key, block, coalesce(max(prio) FILTER (upto <= rest), any_value((fine << (50 - bits)) - 1)) AS cut, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS short FROM y2 GROUP BY key, block),
-cuts AS (SELECT b3.key, b3.block, CASE WHEN room >= n THEN CASE WHEN room > 0 THEN 1152921504606846976 ELSE -1 END ELSE coalesce(cut, -1) END AS cut FROM b3 LEFT JOIN z USING (key, block)),
-spare AS (SELECT e.key, prio, size FROM e JOIN cuts USING (key, block) WHERE prio > cut AND size > 0),
-h0 AS (SELECT key, short, CAST([] AS BIGINT[]) AS extra FROM z),{_filler(0)},{_filler(1)},{_filler(2)}
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN prio <= cut OR coalesce(list_contains(extra, prio), false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM e JOIN s USING (key) JOIN cuts USING (key, block) LEFT JOIN h3 USING (key)
+z AS (SELECT greatest(6, least(18, 4 + greatest(2, least(18, CASE WHEN z = 0 THEN 0 ELSE length(bin(z)) END)))) AS bits FROM (SELECT CAST(sum(source_size) // 4000000 AS BIGINT) AS z FROM p)),
+e AS (SELECT d.*, CAST(prio >> (60 - bits) AS BIGINT) AS block FROM d, z),
+g0 AS (SELECT key, prio FROM e WHERE false), h0 AS (SELECT key, target - passes * source_size AS short FROM s),{"".join(_round(k) for k in range(5))}
+o AS (SELECT DISTINCT key, prio FROM g5)
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN o.prio IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM e JOIN s USING (key) LEFT JOIN o ON o.key = e.key AND o.prio = e.prio
 """
 
 
