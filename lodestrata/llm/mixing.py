@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.scratch import near, place, shielded, table, unshielded
+from lodestrata.llm.scratch import dealt, near, numbered, place, shielded, table, unshielded
 
 PRIORITY_BITS = 60
 BLOCK_BITS = (6, 18)
@@ -75,27 +75,10 @@ def source_key(source: Column) -> Column:
 
 
 def _prioritised(rows: DataFrame, seed: str, id_: str, text: str) -> DataFrame:
-    """``rows(source_key, ...)`` with ``prio``.
-
-    Rows that are equal in id, source and text are numbered, so that they are drawn one by
-    one: first within their partition, then on from the counts of the partitions before,
-    so that no task holds all of a row's repeats.
-    """
+    """``rows(source_key, ...)`` with ``prio``; rows that are equal in id, source and text are drawn one by one."""
     rows = rows.withColumn("body", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    own = ["source_key", "body", "who"]
-    rows = rows.withColumn("who", F.coalesce(F.col(id_).cast("string"), F.lit("")))
-    repeats = rows.groupBy(*own).agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    prio = keyed(seed, F.col("who"), F.col("source_key"), F.col("body"), F.col("number"))
-    if repeats.isEmpty():
-        return rows.withColumn("number", F.lit(0)).withColumn("prio", prio).drop("body", "who", "number")
-    repeats = near(table(repeats, "mix-repeats"))
-    many = rows.join(repeats, own, "left_semi").withColumn("part", F.spark_partition_id())
-    many = table(many.withColumn("number", F.row_number().over(Window.partitionBy(*own, "part").orderBy("part")) - 1), "mix-many")
-    counts = many.groupBy(*own, "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    many = many.join(counts.withColumn("before", before).drop("n"), [*own, "part"]).withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
-    single = rows.join(repeats, own, "left_anti").withColumn("number", F.lit(0).cast("bigint"))
-    return single.unionByName(many).withColumn("prio", prio).drop("body", "who", "number")
+    rows = numbered(rows.withColumn("who", F.coalesce(F.col(id_).cast("string"), F.lit(""))), "source_key", "body", "who")
+    return rows.withColumn("prio", keyed(seed, F.col("who"), F.col("source_key"), F.col("body"), F.col("number"))).drop("body", "who", "number")
 
 
 def _block(prio: Column, bits: int) -> Column:
@@ -254,15 +237,6 @@ def mix_takes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
-def _dealt(spark, shards: int) -> Column:
-    """A number for ``shard`` that hash partitioning puts into a partition of its own, for up to 4,096 shards."""
-    if shards > 4096:
-        return F.col("shard")
-    tries = spark.range(shards * 20).select(F.col("id").cast("int").alias("v"))
-    found = {r["p"]: r["v"] for r in tries.groupBy(F.pmod(F.hash("v"), F.lit(shards)).alias("p")).agg(F.min("v").alias("v")).collect()}
-    return F.element_at(F.array(*[F.lit(found.get(k, -1 - k)) for k in range(shards)]), F.col("shard") + 1)
-
-
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """The mixed corpus: each document as often as it is drawn, dealt to its shards and shuffled there.
 
@@ -274,6 +248,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     mix = _plan(table(rows.select("source_key", "size", "prio"), "mix-sizes"), seed)
     taken = mix.draws_of(rows).withColumn("draw", F.explode("cuts"))
     taken = taken.withColumn("shard", F.col("draw.shard")).withColumn("order", keyed(seed, "shuffle", F.col("prio"), F.col("draw.epoch")))
-    taken = taken.withColumn("dealt", _dealt(docs.sparkSession, 1 << mix.levels))
-    dealt = taken.select(*[c for c in rows.columns if c.startswith("in_")], "shard", "order", "dealt").repartition(1 << mix.levels, "dealt")
-    return unshielded(dealt.sortWithinPartitions("shard", "order"), docs.columns)
+    taken = taken.withColumn("dealt", dealt(docs.sparkSession, "shard", 1 << mix.levels))
+    shuffled = taken.select(*[c for c in rows.columns if c.startswith("in_")], "shard", "order", "dealt").repartition(1 << mix.levels, "dealt")
+    return unshielded(shuffled.sortWithinPartitions("shard", "order"), docs.columns)

@@ -11,6 +11,8 @@ from lodestrata.llm import covertree, gracededup, mixing, packing, pii, simhash,
 from lodestrata.session import ready
 
 
+#: Files of the registered archive; its shards hold 32 MB of raw records, some 6 MB compressed.
+WARC_ROLL_BYTES = 4 << 20
 #: The key of the registered query; a deployment passes its own.
 PII_KEY = "registered-query"
 
@@ -20,7 +22,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_round_trip(_read(spark, sf_dir, "pages")).drop("url")
+    return warc.warc_round_trip(_read(spark, sf_dir, "pages"), roll_bytes=WARC_ROLL_BYTES).drop("url")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 50_000
@@ -42,6 +42,35 @@ def near(small: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with ``number``, from 0, among those that are equal in the (non-null) ``key`` columns.
+
+    Repeated rows are numbered within their partition, then on from the counts of the
+    partitions before, so that no task holds all repeats of a row. Rows that don't repeat
+    aren't shuffled where the repeated keys are few.
+    """
+    repeats = rows.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    if repeats.isEmpty():
+        return rows.withColumn("number", F.lit(0).cast("bigint"))
+    repeats = near(table(repeats, "repeats"))
+    many = rows.join(repeats, list(key), "left_semi").withColumn("part", F.spark_partition_id())
+    many = table(many.withColumn("number", F.row_number().over(Window.partitionBy(*key, "part").orderBy("part")) - 1), "repeated")
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    counts = many.groupBy(*key, "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    many = many.join(counts.drop("n"), [*key, "part"]).withColumn("number", F.col("number") + F.col("before")).drop("part", "before")
+    single = rows.join(repeats, list(key), "left_anti").withColumn("number", F.lit(0).cast("bigint"))
+    return single.unionByName(many.select(*single.columns))
+
+
+def dealt(spark: SparkSession, shard: str, shards: int) -> Column:
+    """A number for each ``shard`` that hash partitioning into ``shards`` puts apart, for up to 4,096 of them."""
+    if shards > 4096:
+        return F.col(shard)
+    tries = spark.range(shards * 20).select(F.col("id").cast("int").alias("v"))
+    found = {r["p"]: r["v"] for r in tries.groupBy(F.pmod(F.hash("v"), F.lit(shards)).alias("p")).agg(F.min("v").alias("v")).collect()}
+    return F.element_at(F.array(*[F.lit(found.get(k, -1 - k)) for k in range(shards)]), F.col(shard) + 1)
+
+
 def shielded(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named by place, so that working columns can't clash with them."""
     return docs.toDF(*[f"in_{k}" for k in range(len(docs.columns))])

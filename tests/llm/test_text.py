@@ -131,3 +131,24 @@ def test_pseudonymised_table(spark, docs, empty):
     a, b, c = pii.pseudonymise_documents(rows, "k").orderBy("doc_id").collect()
     assert a["text"][5:] == b["text"][:17] != "+1 (706) 555-3138" and a["n_phone"] == 1 and c["text"] is None
     assert pii.pseudonymise_documents(empty, "k").count() == 0
+
+
+def test_warc_records_of_hot_keys_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "u", "x" * 300)] * 40 + [(7, f"v{k % 5}", "y" * 200) for k in range(40)] + [(k, "w", f"{k}" * 50) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3).withColumn("number", F.lit("mine")).withColumn("SHA", F.lit(1))
+    a = warc.archive(df, shard_bytes=3_000, roll_bytes=700)
+    files = a.manifest.collect()
+    assert sum(f["records"] for f in files) == len(rows) and max(f["seq"] for f in files) > 0
+    assert len({f["shard"] for f in files}) > 8
+    heads = []
+    for f in files:
+        fs, root = warc._filesystem(a.folder)
+        with fs.open_input_stream(f"{root}/{f['file']}", compression=None) as stream:
+            heads += [h for h, _ in warc.records(stream)]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    ids = {h["WARC-Record-ID"]: h["WARC-Type"] for h in heads}
+    assert all(ids[h["WARC-Refers-To"]] == "response" for h in heads if h["WARC-Type"] == "revisit")
+    got = warc.read_archive(a).groupBy("page_id", "record_type").count().collect()
+    assert {(r["page_id"], r["record_type"]): r["count"] for r in got if r["page_id"] in (None, 7)} == {(None, "response"): 40, (7, "response"): 41}
