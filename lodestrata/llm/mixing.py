@@ -116,17 +116,18 @@ def _cut(sized: DataFrame, sources: DataFrame, seed: str, bits: int) -> DataFram
     """``rounds`` of (most, cut) per source and occupied block: what the partial pass takes of it.
 
     In a round a source's open documents of at most ``most`` words, what is still short, are
-    taken in block and priority order until the next one doesn't fit. Rounds end when
-    nothing that fits is left, after ROUNDS at the latest.
+    taken in block and priority order until the next one doesn't fit. Rounds after the
+    first are for sources that are short by more than a thousandth of their target; they
+    end when nothing that fits is left, after ROUNDS at the latest.
     """
     docs = sized.withColumn("block", _block(F.col("prio"), bits))
     order = Window.partitionBy("source_key").orderBy(keyed(seed, "block", F.col("source_key"), F.col("block")), "block")
     in_order = Window.partitionBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
     fine, low = PRIORITY_BITS - bits - FINE_BITS, PRIORITY_BITS - bits
-    short = sources.select("source_key", (F.col("target") - F.col("passes") * F.col("source_size")).alias("short"))
+    short = sources.select("source_key", "target", (F.col("target") - F.col("passes") * F.col("source_size")).alias("short"))
     taken = table(docs.select("source_key", "block").distinct().withColumn("rounds", F.expr("CAST(array() AS ARRAY<STRUCT<most: DOUBLE, cut: BIGINT>>)")), "mix-taken")
     for _ in range(ROUNDS):
-        fits = docs.join(near(short), "source_key").where("size > 0 AND size <= short").join(near(taken), ["source_key", "block"])
+        fits = docs.join(near(short.drop("target")), "source_key").where("size > 0 AND size <= short").join(near(taken), ["source_key", "block"])
         fits = fits.where("NOT exists(rounds, r -> size <= r.most AND prio <= r.cut)").select("source_key", "block", "prio", "size", "short")
         blocks = fits.groupBy("source_key", "block", "short").agg(F.sum("size").alias("n"))
         blocks = blocks.withColumn("room", F.col("short") - F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("n"))
@@ -149,7 +150,9 @@ def _cut(sized: DataFrame, sources: DataFrame, seed: str, bits: int) -> DataFram
         got = fits.drop("short").join(near(now), ["source_key", "block"]).where("prio <= cut").groupBy("source_key").agg(F.sum("size").alias("got"))
         step = F.when(F.col("cut").isNull(), F.col("rounds")).otherwise(F.concat("rounds", F.array(F.struct(F.col("short").cast("double").alias("most"), "cut"))))
         taken = table(taken.join(now, ["source_key", "block"], "left").select("source_key", "block", step.alias("rounds")), "mix-taken")
-        short = table(short.join(got, "source_key", "left").select("source_key", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short")), "mix-short")
+        short = table(short.join(got, "source_key", "left").select("source_key", "target", (F.col("short") - F.coalesce("got", F.lit(0))).alias("short")).where("short * 1000 > target"), "mix-short")
+        if short.isEmpty():
+            break
     return taken
 
 
@@ -224,8 +227,8 @@ def mix_takes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     Size is the number of words of the whole text (null text: 0). Targets share the total
     of all sizes by the weights 1, 2, 3 over sources in code point order (null last); none
     exceeds three times its source's size. ``taken`` is the size times the number of copies
-    drawn (0 to 3). A source falls short of its target by less than its smallest untaken
-    document, unless ROUNDS rounds of passing over too large ones leave more. Repeated rows
+    drawn (0 to 3). A source falls short of its target by less than a thousandth or than
+    its smallest untaken document, unless ROUNDS rounds of passing over too large ones leave more. Repeated rows
     and ids, null ids among them, are drawn one by one. Other columns aren't read. An empty
     table gives an empty table; a corpus without words has targets and takes of zero.
     Reruns give the same rows.

@@ -42,7 +42,7 @@ def _key(*parts: str) -> str:
 def _round(k: int) -> str:
     """One round of the partial pass: open documents that fit what is short, in block and priority order, until the next doesn't."""
     return f"""
-f{k} AS (SELECT e.key, block, prio, size, short FROM e JOIN h{k} h ON h.key = e.key WHERE size > 0 AND size <= short AND NOT EXISTS (FROM g{k} WHERE g{k}.prio = e.prio AND g{k}.key = e.key)),
+f{k} AS (SELECT e.key, block, prio, size, short FROM e JOIN h{k} h ON h.key = e.key JOIN s ON s.key = e.key WHERE size > 0 AND size <= short AND {'short * 1000 > target AND ' if k else ''} NOT EXISTS (FROM g{k} WHERE g{k}.prio = e.prio AND g{k}.key = e.key)),
 w{k} AS (SELECT key, prio, size, short, sum(size) OVER (PARTITION BY key ORDER BY {_key("'mix'", "'block'", "key", "CAST(block AS VARCHAR)")}, block, prio ROWS UNBOUNDED PRECEDING) AS upto FROM f{k}),
 t{k} AS (SELECT key, prio, size FROM w{k} WHERE upto <= short),
 g{k + 1} AS (SELECT key, prio FROM g{k} UNION ALL SELECT key, prio FROM t{k}),
