@@ -34,7 +34,7 @@ from lodestrata.llm.scratch import near, place, shielded, table, unshielded
 SAMPLE = 20_000
 #: Shingles before the shared one by which a pair that met already is told.
 BEFORE = 3
-#: Candidates of a text that the neighbour round compares.
+#: Candidates of a text that the first neighbour round compares.
 CLOSEST = 2
 #: Pairs of numbers that are broadcast at most, some 16 MB.
 NAMED = 1_000_000
@@ -184,24 +184,48 @@ def _searched(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     return same.unionByName(ends).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _neighbours(shared: DataFrame, *sides: str) -> DataFrame:
+def _neighbours(shared: DataFrame) -> DataFrame:
     """Each text's candidates among those next to it, the ones that it meets most often."""
-    met = shared.select("node", "n", "at", F.explode(F.array(*sides)).alias("o")).where("o.node IS NOT NULL").alias("x")
+    met = shared.select("node", "n", "at", F.explode(F.array("by_size", "by_chance")).alias("o")).where("o.node IS NOT NULL").alias("x")
     met = met.where(_may_match("x", "x.o")).groupBy("node", F.col("o.node").alias("other")).agg(F.count("*").alias("times"))
     best = Window.partitionBy("node").orderBy(F.desc("times"), "other")
     met = met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= CLOSEST)
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of shingles at which several components meet.
+
+    ``main`` is the commonest component there and ``top`` its most central text: the one
+    whose shingles most texts share, so that the least changed copies come first.
+    """
+    own = Window.partitionBy("node")
+    held = shared.select("h", "node", "n", "at", "times").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = held.withColumn("before", F.array_compact(F.array(*[F.lag("h", k).over(own.orderBy("at")) for k in range(1, BEFORE + 1)])))
+    held = table(held.withColumn("central", F.sum("times").over(own) / F.col("n")).drop("times"), "near-held")
+    text = F.struct("central", "node", "n", "at")
+    counts = held.groupBy("h", "label").agg(F.count("*").alias("times"), F.max(text).alias("top"))
+    main = counts.groupBy("h").agg(F.max_by(F.struct(F.col("label").alias("main"), "top"), F.struct("times", "label")).alias("m"), F.count("*").alias("labels"))
+    return table(held.drop("central").join(main.where("labels > 1").select("h", "m.main", "m.top"), "h"), "near-open")
+
+
+def _tops(open_: DataFrame) -> DataFrame:
+    """Texts outside the commonest component of a shingle, and that component's most central text."""
+    x = open_.where("label <> main").alias("x").where(_may_match("x", "x.top"))
+    return x.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
+
+
+def _merged(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """``open_`` with the components that ``links`` between texts join."""
+    of = open_.select("node", "label").distinct()
+    ends = links.join(of.toDF("a", "la"), "a").join(of.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = near(table(components(ends), "near-joined"))
+    out = open_.join(joined.toDF("label", "to"), "label", "left").join(joined.toDF("main", "main_to"), "main", "left")
+    return out.withColumn("label", F.coalesce("to", "label")).withColumn("main", F.coalesce("main_to", "main")).drop("to", "main_to", "top")
+
+
+def _across(open_: DataFrame) -> DataFrame:
     """Every pair of texts of different components that meets at a shingle and may be near."""
-    order = Window.partitionBy("node").orderBy("at")
-    held = shared.select("h", "node", "n", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = held.withColumn("before", F.array_compact(F.array(*[F.lag("h", k).over(order) for k in range(1, BEFORE + 1)])))
-    held = table(held, "near-held")
-    counts = held.groupBy("h", "label").agg(F.count("*").alias("times"))
-    main = counts.groupBy("h").agg(F.max_by("label", F.struct("times", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = table(held.join(main.select("h", "main"), "h"), "near-open")
     x, y = open_.where("label <> main").alias("x"), open_.alias("y")
     once = "(y.label = y.main OR x.node < y.node) AND NOT arrays_overlap(x.before, y.before)"
     pairs = x.join(y, F.expr(f"x.h = y.h AND x.label <> y.label AND {_may_match('x', 'y')} AND {once}"))
@@ -220,18 +244,18 @@ def _labels(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     by_size = meets.orderBy("n", "node")
     rows = rows.withColumn("by_size", F.lead(text).over(by_size)).withColumn("last", F.lag("node").over(by_size).isNull())
     rows = rows.where("by_size IS NOT NULL OR NOT last").drop("last")
-    for k in range(3):
-        rows = rows.withColumn(f"chance_{k}", F.lead(text).over(meets.orderBy(F.xxhash64("node", "h", F.lit(k)), "node")))
+    by_chance = meets.orderBy(F.xxhash64("node", "h"), "node")
+    rows = rows.withColumn("by_chance", F.lead(text).over(by_chance)).withColumn("times", F.count("*").over(meets))
     shared = table(rows, "near-shared")
 
-    known, tried = [first], []
-    for sides in (("by_size", "chance_0"), ("chance_1", "chance_2")):
-        apart = _apart(_neighbours(shared, *sides), components(_union(known)))
-        known.append(table(_verified(nodes, apart, words), "near-links"))
-        tried.append(apart)
-    rest = _across(shared, components(_union(known))).join(_union(tried).distinct(), ["a", "b"], "left_anti")
-    known.append(_verified(nodes, table(rest, "near-pairs"), words))
-    return table(components(_union(known)), "near-labels")
+    apart = _apart(_neighbours(shared), components(first))
+    second = table(_verified(nodes, apart, words), "near-links")
+    open_ = _open(shared, components(_union([first, second])))
+    tops = table(_tops(open_).join(apart, ["a", "b"], "left_anti"), "near-tops")
+    third = table(_verified(nodes, tops, words), "near-links")
+    rest = _across(_merged(open_, third)).join(_union([apart, tops]), ["a", "b"], "left_anti")
+    fourth = _verified(nodes, table(rest, "near-pairs"), words)
+    return table(components(_union([first, second, third, fourth])), "near-labels")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
