@@ -113,15 +113,27 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.folder}/{names[-1].split('.', 1)[1]}")
 
     def commit(self, df: DataFrame) -> str:
-        """Writes ``df`` as the next version; readers see it once its pointer exists."""
+        """Writes ``df`` as the next version; readers see it once its pointer exists.
+
+        The version's number is taken before the rows are written and claimed after that by
+        a file whose creation only one writer can win; another writer of the same version
+        gets an error, so that no update is lost.
+        """
         number = len(self.versions())
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        root = self._path(f"{self.folder}/_pointers")
-        self._fs.mkdirs(root)
-        pointer = self._path(f"{self.folder}/_pointers/{number:08d}.{name}")
-        if not self._fs.createNewFile(pointer):
-            raise FileExistsError(str(pointer))
+        for folder in ("_pointers", "_claims"):
+            self._fs.mkdirs(self._path(f"{self.folder}/{folder}"))
+        claim = self._path(f"{self.folder}/_claims/{number:08d}")
+        try:
+            won = self._fs.createNewFile(claim)
+        except Exception as raced:  # some file systems raise where others answer false
+            if not self._fs.exists(claim):
+                raise
+            raise FileExistsError(str(claim)) from raced
+        if not won:
+            raise FileExistsError(str(claim))
+        self._fs.createNewFile(self._path(f"{self.folder}/_pointers/{number:08d}.{name}"))
         return name
 
     def fork(self, folder: str) -> "VersionedTable":

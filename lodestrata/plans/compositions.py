@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lodestrata import dims
 from lodestrata.functions import parsing, paths, text
 from lodestrata.operators import fusion, lookup
-from lodestrata.plans import fanout, index, tools
+from lodestrata.plans import fanout, index, merging, tools
 from lodestrata.plans.fixtures import duck
 from lodestrata.plans.merging import _A06, _S
+from lodestrata.plans.traversals import blast_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -37,8 +38,31 @@ both("tool_check_quality", lambda t: tools.check_quality({"issues": t.issues, "t
      f"SELECT CASE s {' '.join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(dims.SEVERITIES))} END AS severity, count(*) AS n FROM (SELECT min({_S}) AS s FROM issues GROUP BY file_path, line_start, category) GROUP BY 1", "issues")
 both("tool_type_check", lambda t: tools.type_check({"diagnostics": t.diagnostics}).groupBy("source", "code").agg(F.count("*").alias("n")),
      "SELECT source, code, count(*) AS n FROM diagnostics WHERE severity = 1 AND (coalesce(source IN ('rust-analyzer', 'pyright', 'tsserver', 'typescript', 'mypy'), false) OR coalesce(regexp_matches(code, '^(E|TS2|TS7|report)'), false)) GROUP BY ALL", "diagnostics")
+both("tool_find_definition_row", lambda t: tools.find_definition(vars_(t), "Brand#12")[0].select("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line"),
+     """SELECT id, kind, name, qualified_name, file_path, start_line, end_line FROM entities WHERE name = 'Brand#12' OR lower(qualified_name) LIKE '%::brand#12' ORDER BY t_ingested_at DESC, id DESC LIMIT 1""", "entities")
+both("tool_get_architecture_edges", lambda t: tools.get_architecture({"edges": t.edges}, 256)[1].select("source", "target", "edge_kind", "origin", "source_id", "coupling", "contributors"),
+     f"SELECT * EXCLUDE (pos) FROM (SELECT * FROM ({_A06}) ORDER BY coupling DESC, source, target, pos LIMIT 256)", "edges")
+QUERIES["tool_check_quality_issues"] = lambda t: tools.check_quality({"issues": t.issues, "tests": t.tests})[0].drop("ord")
+ORACLE["tool_check_quality_issues"] = merging.ORACLE["A08_merge_issues"]
+QUERIES["tool_check_quality_tests"] = lambda t: tools.check_quality({"issues": t.issues, "tests": t.tests})[1]
+ORACLE["tool_check_quality_tests"] = merging.ORACLE["A09_merge_tests"]
+both("tool_type_check_rows", lambda t: tools.type_check({"diagnostics": t.diagnostics}).select("id", "severity", "source", "code"),
+     "SELECT id, severity, source, code FROM diagnostics WHERE severity = 1 AND (coalesce(source IN ('rust-analyzer', 'pyright', 'tsserver', 'typescript', 'mypy'), false) OR coalesce(regexp_matches(code, '^(E|TS2|TS7|report)'), false))", "diagnostics")
+both("tool_get_conventions", lambda t: tools.get_conventions({"conventions": t.hot_signals.withColumnRenamed("pattern", "category")}, "p:click"), "SELECT id, pattern_hash, pattern AS category FROM hot_signals WHERE pattern = 'p:click'", "hot_signals")
+_NAMED = "(SELECT id FROM entities WHERE qualified_name = 'PROMO STEEL::Brand#1217' ORDER BY t_ingested_at DESC, id DESC LIMIT 1)"
+_SIDES = f""", s AS (SELECT source_id AS id, target_id AS peer_id, id AS edge_id, kind, 'out' AS direction FROM relations UNION ALL SELECT target_id, source_id, id, kind, 'in' FROM relations),
+x AS (SELECT s.peer_id, s.id, s.edge_id, s.kind, s.direction, coalesce(p.qualified_name, p.name) AS peer FROM s JOIN entities p ON p.id = s.peer_id WHERE s.id = {_NAMED})"""
+both("P10_explain_symbol", lambda t: index.explain_symbol(t.entities, t.relations, "PROMO STEEL::Brand#1217")[0].select("id", "kind", "qualified_name", "file_path", "start_line", "inbound_relation_count", "outbound_relation_count"),
+     f"{_SIDES} SELECT id, kind, qualified_name, file_path, start_line, (SELECT count(*) FROM x WHERE direction = 'in') AS inbound_relation_count, (SELECT count(*) FROM x WHERE direction = 'out') AS outbound_relation_count FROM entities WHERE id = {_NAMED}", "entities", "relations")
+both("P10_symbol_edges", lambda t: index.explain_symbol(t.entities, t.relations, "PROMO STEEL::Brand#1217", 3)[1],
+     f"{_SIDES} SELECT *, CAST(row_number() OVER (PARTITION BY direction ORDER BY kind, peer, edge_id) AS INT) AS rank FROM x QUALIFY rank <= 3", "entities", "relations")
+_TOP = f"e AS (SELECT * FROM ({_A06}) ORDER BY coupling DESC, source, target, pos LIMIT 1024)"
+ORACLE["tool_trace_dependencies"] = duck("edges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", {_TOP}, s AS (SELECT min(target) AS node FROM edges),
+d AS (SELECT node, 0 AS depth FROM s UNION SELECT e.target, d.depth + 1 FROM d JOIN e ON e.source = d.node WHERE d.depth < 3), p AS (SELECT node, 0 AS depth FROM s UNION SELECT e.source, p.depth + 1 FROM p JOIN e ON e.target = p.node WHERE p.depth < 3)
+SELECT node, min(depth) AS depth, 'downstream' AS direction FROM d GROUP BY node HAVING min(depth) > 0 UNION ALL SELECT node, min(depth), 'upstream' FROM p GROUP BY node HAVING min(depth) > 0"""
+ORACLE["tool_blast_radius"] = duck("edges").rstrip() + f", {_TOP}, " + blast_sql("u AS (SELECT source, target, edge_kind, coupling, pos FROM e)", "SELECT min(target) AS node, 0 AS depth, 1.0::DOUBLE AS weight, NULL::VARCHAR AS parent, NULL::VARCHAR AS via, 1 AS q, min(target) AS path FROM edges") + " SELECT node, depth, round(weight, 9) AS weight FROM a WHERE depth > 0"
 QUERIES["tool_trace_dependencies"] = lambda t: tools.trace_dependencies({"edges": t.edges}, t.edges.agg(F.min("target")).first()[0])
-QUERIES["tool_blast_radius"] = lambda t: tools.blast_radius({"edges": t.edges}, [t.edges.agg(F.min("target")).first()[0]], 2)[0]
+QUERIES["tool_blast_radius"] = lambda t: tools.blast_radius({"edges": t.edges}, [t.edges.agg(F.min("target")).first()[0]], 2)[0].select("node", "depth", F.round("weight", 9).alias("weight"))
 
 
 def vars_(t):

@@ -18,13 +18,13 @@ _LINES = {
 
 SQL = {
     "hits": """
-SELECT source, rank, file_path, line_no AS start_line, line_no AS end_line, substr(line, 1, 40) AS snippet FROM (
+SELECT source, rank, file_path, line_no AS start_line, line_no AS end_line, line AS snippet FROM (
   SELECT 'ripgrep' AS source, *, CAST(row_number() OVER (PARTITION BY corpus ORDER BY doc_id, line_no) AS INT) AS rank FROM {lines} WHERE lower(line) LIKE '%the%'
   UNION ALL
   SELECT 'probe' AS source, *, CAST(row_number() OVER (PARTITION BY corpus ORDER BY length(line) DESC, doc_id, line_no) AS INT) AS rank FROM {lines} WHERE lower(line) LIKE '%the%'
   UNION ALL
   SELECT 'lancedb' AS source, *, CAST(row_number() OVER (PARTITION BY corpus ORDER BY (doc_id * 31 + line_no * 17) % 1000, doc_id, line_no) AS INT) AS rank FROM {lines} WHERE lower(line) LIKE '%an%'
-) h WHERE rank <= 200""",
+) h""",
     "group_hits": """
 SELECT CASE source WHEN 'ripgrep' THEN 'G1' WHEN 'probe' THEN 'G2' ELSE 'G6' END AS grp, CASE source WHEN 'lancedb' THEN 'timed_out' ELSE 'available' END AS status,
   rank, file_path, start_line, end_line, snippet FROM {hits}""",
@@ -73,7 +73,7 @@ SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'find_similar' WHEN 1 THEN 'blast
     "bonuses": """
 SELECT CAST(user_id AS STRING) AS session_id, event_id AS bonus_id, CASE event_id % 5 WHEN 0 THEN 'pitfall' WHEN 1 THEN 'convention' WHEN 2 THEN 'related_code' WHEN 3 THEN 'quality_issue' ELSE 'test' END AS bonus_type,
   CASE WHEN event_id % 13 = 0 THEN NULL ELSE 'f' || CAST(event_id % 10 AS STRING) END AS file_path, CAST(event_id % 50 AS INT) AS line_lo, CAST(event_id % 50 + 5 AS INT) AS line_hi, CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'Key' || CAST(event_id % 6 AS STRING) END AS keyword FROM {events}""",
-    "edits": "SELECT CAST(c_custkey AS STRING) AS session_id, 'f' || CAST(c_custkey % 10 AS STRING) AS file_path, CAST(c_custkey % 40 AS INT) AS lo, CAST(c_custkey % 40 + 8 AS INT) AS hi, 'uses KEY' || CAST(c_custkey % 6 AS STRING) AS content FROM {customer} WHERE c_custkey < 120",
+    "edits": "SELECT CAST(c_custkey AS STRING) AS session_id, 'f' || CAST(c_custkey % 10 AS STRING) AS file_path, CAST(c_custkey % 40 AS INT) AS lo, CAST(c_custkey % 40 + 8 AS INT) AS hi, 'uses KEY' || CAST(c_custkey % 6 AS STRING) AS content FROM {customer}",
     "issue_table": """
 SELECT o_orderkey AS id, 'f' || CAST(o_custkey % 60 AS STRING) AS file_path, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 30 AS INT) END AS line_start, CASE o_orderkey % 2 WHEN 0 THEN 'lint' ELSE 'type_error' END AS category,
   o_orderpriority AS severity, 'm' || CAST(o_orderkey % 900 AS STRING) AS message, 100 AS first_seen, CAST(o_orderkey % 90 AS INT) AS last_seen, o_orderkey % 3 = 0 AS resolved FROM {orders}""",
@@ -89,7 +89,7 @@ SELECT DISTINCT 'f' || CAST(o_custkey % 60 AS STRING) AS file_path, CASE WHEN o_
     "session_hits": "SELECT CAST(user_id % 20 AS STRING) AS session_id, 'p/' || CAST(user_id AS STRING) || '/' || event_type AS file_path, props AS snippet, value / 1000 AS score, event_id AS pos FROM {events}",
     "session_files": "SELECT CAST(user_id % 20 AS STRING) AS session_id, 'p/' || CAST(user_id AS STRING) || '/click' AS file_path FROM {events} WHERE user_id % 3 = 0",
     "lifecycle": """
-SELECT 'plugin' || CAST(user_id AS STRING) AS plugin, event_id AS at, CASE (event_id * 7 + user_id) % 8 WHEN 0 THEN 'register' WHEN 1 THEN 'load' WHEN 2 THEN 'activate' WHEN 3 THEN 'idle' WHEN 4 THEN 'wake' WHEN 5 THEN 'stop' WHEN 6 THEN 'register' ELSE 'load' END AS event FROM {events}""",
+SELECT 'plugin' || CAST(user_id AS STRING) AS plugin, event_id AS at, CASE (event_id * 7 + user_id) % 40 WHEN 0 THEN 'stop' WHEN 1 THEN 'fail' WHEN 2 THEN 'wake' ELSE CASE (event_id * 7 + user_id) % 5 WHEN 0 THEN 'register' WHEN 1 THEN 'load' WHEN 2 THEN 'activate' WHEN 3 THEN 'idle' ELSE 'call' END END AS event FROM {events}""",
     "occurrences": """
 SELECT event_type || '#' || CAST(user_id AS STRING) AS symbol, 'f' || CAST(user_id AS STRING) AS file_path, CAST(event_id % 50 - 2 AS INT) AS a, CAST(event_id % 50 + 3 AS INT) AS b, CAST(event_id % 3 + 2 AS INT) AS n, CAST(event_id % 128 AS INT) AS role FROM {events}""",
     "paths": """

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import parsing, text
-from lodestrata.operators import snapshots, vector
+from lodestrata.operators import lookup, snapshots, vector
 from lodestrata.operators.graph import numbered
 from lodestrata.sources import files
 
@@ -46,6 +46,20 @@ def index_paths(source: DataFrame, state: DataFrame, embed: Callable[[Column], C
     return rows, following, stats
 
 
+def explain_symbol(entities: DataFrame, relations: DataFrame, qualified_name: str, cap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The newest entity of that name with its edge counts, and its capped edges both ways.
+
+    An unknown name gives two empty tables; edges to peers that aren't stored don't count.
+    The file that holds the entity is told by ``explain_files``.
+    """
+    found = lookup.entity_by_qualified_name(entities, qualified_name)
+    edges = lookup.edges_of(entities, relations, found, cap)
+    totals = edges.groupBy("id").agg(F.max(F.when(F.col("direction") == "in", F.col("total"))).alias("inbound"), F.max(F.when(F.col("direction") == "out", F.col("total"))).alias("outbound"))
+    counts = [F.coalesce(c, F.lit(0)).alias(f"{c}_relation_count") for c in ("inbound", "outbound")]
+    summary = found.join(totals, "id", "left").select(*found.columns, *counts)
+    return summary, edges.drop("total").withColumnRenamed("n", "rank")
+
+
 def explain_files(source: DataFrame, symbols: DataFrame, entities: DataFrame, cap: int = 100) -> DataFrame:
     """Per file: language, lines, imports, its first ``cap`` symbols in extraction order, stored entities."""
     top = symbols.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "name", "start_line"))).alias("all"))

@@ -32,7 +32,17 @@ both("X07_session_state", lambda t: jobs.session_state(t.calls, 300000, 500000),
 both("X07_sessionise", lambda t: jobs.sessionise(t.events.select("event_id", "user_id", (F.col("event_id") * 60).alias("at")), "user_id", "at", 3600),
      """SELECT event_id, user_id, "at", sum(new) OVER (PARTITION BY user_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM
 (SELECT event_id, user_id, event_id * 60 AS "at", CASE WHEN event_id * 60 - lag(event_id * 60) OVER (PARTITION BY user_id ORDER BY event_id) > 3600 THEN 1 ELSE 0 END AS new FROM events)""")
+_X08 = """o AS (SELECT plugin, event, row_number() OVER (PARTITION BY plugin ORDER BY "at", event) AS n FROM lifecycle),
+f(plugin, n, state, illegal) AS (SELECT DISTINCT plugin, 0, 'discovered', 0 FROM o UNION ALL SELECT f.plugin, f.n + 1,
+  CASE WHEN event = 'fail' THEN 'error' WHEN event = 'stop' AND state <> 'error' THEN 'stopped' WHEN event = 'register' AND state = 'discovered' THEN 'registered' WHEN event = 'load' AND state IN ('registered', 'idle') THEN 'loading'
+    WHEN event IN ('wake', 'call') AND state = 'idle' THEN 'loading' WHEN event = 'activate' AND state = 'loading' THEN 'active' WHEN event = 'idle' AND state = 'active' THEN 'idle' ELSE state END,
+  illegal + CASE event WHEN 'stop' THEN state = 'error' WHEN 'register' THEN state <> 'discovered' WHEN 'load' THEN state NOT IN ('registered', 'idle') WHEN 'wake' THEN state <> 'idle' WHEN 'activate' THEN state <> 'loading' ELSE false END::INT
+  FROM f JOIN o ON o.plugin = f.plugin AND o.n = f.n + 1)
+SELECT plugin, state, illegal, CAST(n AS INT) AS events FROM f QUALIFY row_number() OVER (PARTITION BY plugin ORDER BY n DESC) = 1"""
 QUERIES["X08_fold_lifecycle"] = lambda t: jobs.fold_lifecycle(t.lifecycle)
+ORACLE["X08_fold_lifecycle"] = duck("lifecycle").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _X08
+both("X13_reap", lambda t: t.calls.groupBy(F.col("session_id").alias("language")).agg(F.max("at").alias("last_used")).where(jobs.reapable(F.col("last_used"), F.lit(600000), 60)),
+     'SELECT session_id AS language, max("at") AS last_used FROM calls GROUP BY ALL HAVING 600000 - max("at") >= 60', "calls")
 
 
 def x01(t):

@@ -34,6 +34,10 @@ both("T05_hit_tokens", lambda t: t.lines.select("doc_id", "line_no", text.hit_to
 both("T06_summary_tokens", lambda t: t.documents.select("doc_id", text.summary_tokens(c("text"), c("n_chars")).alias("tokens")),
      "SELECT doc_id, CAST(strlen(text) // 4 + 8 * n_chars AS BIGINT) AS tokens FROM documents")
 both("T07_byte_tokens", lambda t: t.documents.select("doc_id", text.byte_tokens(c("text")).alias("tokens")), "SELECT doc_id, CAST(greatest(1, (strlen(text) + 3) // 4) AS BIGINT) AS tokens FROM documents")
+# 2,048 bytes as hex without a character that the cut splits
+ORACLE["T08_cut_bytes"] = r"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+k AS (SELECT doc_id, CASE WHEN length(h) <= 4096 THEN h ELSE regexp_replace(substr(h, 1, 4096), '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$', '\1') END AS cut FROM d)
+SELECT doc_id, sha256(unhex(cut)) AS sha, CAST(length(cut) // 2 AS INT) AS bytes FROM k"""
 QUERIES["T08_cut_bytes"] = lambda t: t.documents.select("doc_id", F.sha2(text.cut_bytes(c("text"), 2048), 256).alias("sha"), F.octet_length(text.cut_bytes(c("text"), 2048)).alias("bytes"))
 both("T09_slice_lines", lambda t: t.documents.select("doc_id", F.md5(text.slice_lines(c("text"), F.lit(2), F.lit(4))).alias("slice")),
      """, l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), m AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM l)

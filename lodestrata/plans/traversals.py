@@ -50,12 +50,20 @@ def g02(t):
 
 QUERIES["G02_blast_radius"] = g02
 _U = "u AS (SELECT source, target, edge_kind, max(coupling) AS coupling, min(pos) AS pos FROM edges GROUP BY ALL)"
-_G02 = f"""{_U}, b AS (SELECT source AS parent, target AS node, coupling, source AS s, target AS g, pos, edge_kind FROM u UNION ALL SELECT target, source, coupling, source, target, pos, edge_kind FROM u),
-l0 AS (SELECT 'part:' || CAST(p_partkey AS STRING) AS node, 0 AS depth, 1.0::DOUBLE AS weight, NULL::VARCHAR AS parent, NULL::VARCHAR AS via, row_number() OVER (ORDER BY p_partkey) AS q, 'part:' || CAST(p_partkey AS STRING) AS path FROM part WHERE p_partkey IN (1, 5)),
+_SEEDS = "SELECT 'part:' || CAST(p_partkey AS STRING) AS node, 0 AS depth, 1.0::DOUBLE AS weight, NULL::VARCHAR AS parent, NULL::VARCHAR AS via, row_number() OVER (ORDER BY p_partkey) AS q, 'part:' || CAST(p_partkey AS STRING) AS path FROM part WHERE p_partkey IN (1, 5)"
+
+
+def blast_sql(merged: str, seeds: str) -> str:
+    """Two levels of a blast radius in SQL over the CTE ``u``."""
+    return f"""{merged}, b AS (SELECT source AS parent, target AS node, coupling, source AS s, target AS g, pos, edge_kind FROM u UNION ALL SELECT target, source, coupling, source, target, pos, edge_kind FROM u),
+l0 AS ({seeds}),
 c1 AS (SELECT b.node, 1 AS depth, l.weight * b.coupling AS weight, b.parent, b.edge_kind AS via, l.q, b.s, b.g, b.pos, l.path || ' ' || b.node AS path FROM l0 l JOIN b ON b.parent = l.node WHERE b.node NOT IN (SELECT node FROM l0) QUALIFY row_number() OVER (PARTITION BY b.node ORDER BY l.q, b.s, b.g, b.pos) = 1),
 l1 AS (SELECT node, depth, weight, parent, via, row_number() OVER (ORDER BY q, s, g, pos, node) AS q, path FROM c1),
 l2 AS (SELECT b.node, 2 AS depth, l.weight * b.coupling AS weight, b.parent, b.edge_kind AS via, l.q, l.path || ' ' || b.node AS path FROM l1 l JOIN b ON b.parent = l.node WHERE b.node NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1) QUALIFY row_number() OVER (PARTITION BY b.node ORDER BY l.q, b.s, b.g, b.pos) = 1),
 a AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
+
+
+_G02 = blast_sql(_U, _SEEDS)
 ORACLE["G02_blast_radius"] = duck("edges").rstrip() + ", " + _G02 + " SELECT node, depth, round(weight, 9) AS weight, parent, via, path FROM a"
 
 QUERIES["L05_dependency_chains"] = lambda t: graph.dependency_chains(graph.blast_radius(_merged(t), _part_seeds(t), 2))

@@ -137,23 +137,26 @@ def sessionise(events: DataFrame, key: str, at: str, gap: int) -> DataFrame:
 
 
 # The life cycle of a plugin, (state, event) to next state.
+STATES = ("discovered", "registered", "loading", "active", "idle", "stopped", "error")
 TRANSITIONS = {
     ("discovered", "register"): "registered",
     ("registered", "load"): "loading",
+    ("idle", "load"): "loading",
+    ("idle", "wake"): "loading",
     ("loading", "activate"): "active",
-    ("active", "idle"): "idle",
-    ("idle", "wake"): "active",
-    ("active", "stop"): "stopped",
-    ("idle", "stop"): "stopped",
-    ("loading", "fail"): "error",
-    ("active", "fail"): "error",
 }
+TRANSITIONS |= {(s, "fail"): "error" for s in STATES}
+TRANSITIONS |= {(s, "stop"): "stopped" for s in STATES if s != "error"}
+# A call wakes an idle plugin and a passed idle time rests an active one; elsewhere they change nothing.
+TRANSITIONS |= {(s, "call"): "loading" if s == "idle" else s for s in STATES}
+TRANSITIONS |= {(s, "idle"): "idle" if s == "active" else s for s in STATES}
 
 
 def fold_lifecycle(log: DataFrame) -> DataFrame:
     """``(plugin, at, event)`` to each plugin's state and how many of its events were illegal there.
 
     A fold over the events in time order with SQL's ``aggregate``; illegal events change nothing.
+    Calls and passed idle times are legal in every state.
     """
     steps = F.array_sort(F.collect_list(F.struct("at", "event")))
     table = F.create_map(*[F.lit(x) for (s, e), t in TRANSITIONS.items() for x in (f"{s}|{e}", t)])
@@ -172,6 +175,11 @@ def idle(state: Column, last_call: Column, now: Column, timeout: int) -> Column:
     return (state == "active") & (now - last_call > timeout)
 
 
+def reapable(last_used: Column, now: Column, grace: int) -> Column:
+    """Whether a shared helper has been unused for the grace period, its end included."""
+    return now - last_used >= grace
+
+
 def recent_paths(touched: DataFrame, n: int) -> DataFrame:
     """The ``n`` paths asked for last, one row each."""
     return touched.groupBy("path").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "path").limit(n)

@@ -313,3 +313,38 @@ def test_early_cutoff(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "key int, value string")
     new = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "d")], "key int, value string")
     assert sorted(rows(vector.early_cutoff(old, new))) == [(2, "changed"), (4, "added")]
+
+
+@pytest.mark.parametrize(
+    "events,state,illegal",
+    [
+        ("register stop", "stopped", 0),
+        ("register fail", "error", 0),
+        ("fail stop", "error", 1),
+        ("register load activate idle call", "loading", 0),
+        ("register load activate idle load activate", "active", 0),
+        ("stop stop register", "stopped", 1),
+        ("register call idle register", "registered", 1),
+        ("activate", "discovered", 1),
+    ],
+)
+def test_lifecycle_rules(spark, events, state, illegal):
+    log = [("p", k, e) for k, e in enumerate(events.split())]
+    r = jobs.fold_lifecycle(spark.createDataFrame(log, "plugin string, at int, event string")).first()
+    assert (r["state"], r["illegal"]) == (state, illegal)
+
+
+def test_reaping_includes_the_end_of_the_grace_period(spark):
+    df = spark.createDataFrame([(10,), (11,)], "at int").select("at", jobs.reapable(F.col("at"), F.lit(70), 60).alias("gone"))
+    assert [r["gone"] for r in df.orderBy("at").collect()] == [True, False]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    a, b = (snapshots.VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    a.commit(spark.range(1))
+    seen = b.versions()
+    b.versions = lambda: seen
+    a.commit(spark.range(2))
+    with pytest.raises(FileExistsError):
+        b.commit(spark.range(3))
+    assert a.read().count() == 2 and len(a.versions()) == 2
