@@ -36,6 +36,8 @@ SAMPLE = 20_000
 BEFORE = 3
 #: Candidates of a text that the first neighbour round compares.
 CLOSEST = 2
+#: Partners of a text that one task compares with it, about.
+PARTNERS = 64
 #: Pairs of numbers that are broadcast at most, some 16 MB.
 NAMED = 1_000_000
 COMMON = 3
@@ -165,13 +167,16 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose similarity is 4/5 or more; ``nodes`` has a row a text.
 
-    The sets of a text's partners are sent to its own set, once a pair.
+    The sets of a text's partners are sent to its own set, once a pair; a text with many
+    partners meets them in several tasks.
     """
     named = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-named")
     sets = table(_sets_of(nodes.join(near(named, NAMED), "node", "left_semi"), words), "near-sets")
-    ends = pairs.select("a", F.col("a").alias("node")).distinct().unionByName(pairs.select("a", F.col("b").alias("node")))
-    sent = sets.join(near(table(ends, "near-ends"), NAMED), "node").select("a", "node", "hs")
-    return sent.repartition("a").sortWithinPartitions("a", F.col("node") != F.col("a")).mapInArrow(_agree, "a bigint, b bigint")
+    dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("k")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")))
+    ends = dealt.select("a", "salt", F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "salt", F.col("b").alias("node")))
+    sent = sets.join(near(table(ends, "near-ends"), NAMED), "node").select("a", "salt", "node", "hs")
+    sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"))
+    return sent.select("a", "node", "hs").mapInArrow(_agree, "a bigint, b bigint")
 
 
 def _searched(nodes: DataFrame, words: int, radius: int) -> DataFrame:
