@@ -205,10 +205,11 @@ def pseudonymise_documents(docs: DataFrame, key: str | bytes, text_col: str = "t
 
     A null text stays null with zero counts. Values that fail their validation (a card
     without its check digit, a day that no month has) are left as they are. Columns of
-    the input with the counts' names are replaced. An empty table gives an empty table.
+    the input with the counts' names, in whatever case, are replaced. Whole texts are read,
+    however long; repeated rows are treated alike. An empty table gives an empty table.
     """
     made = [f"n_{k}" for k in KINDS] + ["n_values"]
-    names = [c for c in docs.columns if c not in made]
+    names = [c for c in docs.columns if c.lower() not in made]
     secret = key.encode() if isinstance(key, str) else key
     place = names.index(text_col)
 

@@ -152,3 +152,10 @@ def test_warc_records_of_hot_keys_and_repeats(spark):
     assert all(ids[h["WARC-Refers-To"]] == "response" for h in heads if h["WARC-Type"] == "revisit")
     got = warc.read_archive(a).groupBy("page_id", "record_type").count().collect()
     assert {(r["page_id"], r["record_type"]): r["count"] for r in got if r["page_id"] in (None, 7)} == {(None, "response"): 40, (7, "response"): 41}
+
+
+def test_pseudonyms_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "mail a.b@example.com", "mine", 3)], "doc_id int, text string, N_EMAIL string, n_Values int")
+    got = pii.pseudonymise_documents(df, "key")
+    assert [c.lower() for c in got.columns].count("n_email") == 1 and got.columns[:2] == ["doc_id", "text"]
+    assert got.first()["n_email"] == 1
