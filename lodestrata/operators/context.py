@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,24 +38,22 @@ def analyze_feedback(bonuses: DataFrame, call: DataFrame, edits: DataFrame) -> D
     """``(session_id, bonus_id, bonus_type, file_path, line_lo, line_hi, keyword)`` to a signal and an importance change.
 
     ``call(session_id, reason, files)`` is a session's next call, ``edits(session_id,
-    file_path, lo, hi, content)`` what it changed. One join of bonuses with the edits of
-    their session, aggregated back to a row a bonus.
+    file_path, lo, hi, content)`` what it changed. Edits meet bonuses of a type that asks for
+    them only: by file, or by the distinct keywords and contents of a session.
     """
-    e = edits.select("session_id", F.col("file_path").alias("e_file"), "lo", "hi", F.lower("content").alias("content"))
-    b = bonuses.join(call, "session_id", "left").join(e, "session_id", "left")
-    word = F.lower("keyword")
-    same = F.col("e_file") == F.col("file_path")
-    flags = {
-        "pitfall": F.contains(F.lower("reason"), word),
-        "convention": F.contains(F.col("content"), word),
-        "related_code": F.array_contains("files", F.col("file_path")),
-        "quality_issue": same & overlap(F.col("line_lo"), F.col("line_hi"), F.col("lo"), F.col("hi")),
-        "test": F.coalesce(F.array_contains("files", F.col("file_path")), F.lit(False)) | same,
-    }
-    hit, signal, boost = F.lit(False), F.lit("ignored"), F.lit(dims.FEEDBACK_DECAY)
-    for kind, test in flags.items():
-        hit = F.when(F.col("bonus_type") == kind, F.coalesce(test, F.lit(False))).otherwise(hit)
-    found = b.groupBy("session_id", "bonus_id", "bonus_type").agg(F.bool_or(hit).alias("hit"))
+    key = ["session_id", "bonus_id", "bonus_type"]
+    listed = F.array_contains("files", F.col("file_path"))
+    told = F.when(F.col("bonus_type") == "pitfall", F.contains(F.lower("reason"), F.lower("keyword"))).when(F.col("bonus_type").isin("related_code", "test"), listed)
+    by_call = bonuses.join(call, "session_id", "left").select(*key, F.coalesce(told, F.lit(False)).alias("hit"))
+    places = edits.select("session_id", "file_path", "lo", "hi").distinct()
+    touched = F.when(F.col("bonus_type") == "test", F.lit(True)).otherwise(overlap(F.col("line_lo"), F.col("line_hi"), F.col("lo"), F.col("hi")))
+    by_file = bonuses.where(F.col("bonus_type").isin("quality_issue", "test")).join(places, ["session_id", "file_path"]).where(touched).select(*key, F.lit(True).alias("hit"))
+    asked = bonuses.where("bonus_type = 'convention'").select(*key, F.lower("keyword").alias("word"))
+    texts = edits.select("session_id", F.lower("content").alias("content")).distinct()
+    used = asked.select("session_id", "word").distinct().join(texts, "session_id").where(F.contains("content", F.col("word"))).select("session_id", "word").distinct()
+    by_word = asked.join(used, ["session_id", "word"], "left_semi").select(*key, F.lit(True).alias("hit"))
+    found = by_call.unionByName(by_file).unionByName(by_word).groupBy(*key).agg(F.bool_or("hit").alias("hit"))
+    signal, boost = F.lit("ignored"), F.lit(dims.FEEDBACK_DECAY)
     for kind, (name, delta) in dims.FEEDBACK.items():
         now = F.col("hit") & (F.col("bonus_type") == kind)
         signal, boost = F.when(now, F.lit(name)).otherwise(signal), F.when(now, F.lit(delta)).otherwise(boost)
@@ -74,12 +75,43 @@ def latency_report(calls: DataFrame) -> DataFrame:
 
 
 def drop_overlaps(hits: DataFrame, most: float = 0.7) -> DataFrame:
-    """Of hits in one file whose line ranges overlap by more than ``most`` (Jaccard) a better-ranked one is kept.
+    """Of hits in one file whose line ranges overlap by more than ``most`` (Jaccard) the best-ranked is kept.
 
-    A hit goes if any better-ranked hit of the file overlaps it that much.
+    Greedy: in rank order, the smaller range first in a tie, a hit goes if one that is kept
+    overlaps it that much. Hits that share file and range are the best of them first, so
+    each file's distinct ranges pass one task in order, and a hit is compared with the kept
+    ranges near its own start only. Hits without a rank, file or range are kept.
     """
-    a, b = hits.alias("a"), hits.select("file_path", "start_line", "end_line", "rank").alias("b")
-    shared = F.least("a.end_line", "b.end_line") - F.greatest("a.start_line", "b.start_line") + 1
-    union = F.greatest("a.end_line", "b.end_line") - F.least("a.start_line", "b.start_line") + 1
-    worse = (F.col("a.file_path") == F.col("b.file_path")) & (F.col("b.rank") < F.col("a.rank")) & (shared / union > most)
-    return a.join(b, worse, "left_anti")
+    near = ["file_path", "start_line", "end_line"]
+    whole = F.coalesce((F.col("start_line") <= F.col("end_line")) & F.col("file_path").isNotNull() & F.col("rank").isNotNull(), F.lit(False))
+    ranged = hits.where(whole)
+    best = ranged.groupBy(*near).agg(F.min("rank").alias("rank"))
+    dealt = best.select("file_path", F.col("start_line").cast("bigint"), F.col("end_line").cast("bigint"), "rank").repartition("file_path").sortWithinPartitions("file_path", "rank", "start_line", "end_line")
+    gone = dealt.mapInArrow(lambda batches: _overlapped(batches, most), "file_path string, start_line bigint, end_line bigint")
+    return ranged.join(best, [*near, "rank"], "left_semi").join(gone, near, "left_anti").unionByName(hits.where(~whole))
+
+
+def _overlapped(batches: Iterator, most: float) -> Iterator:
+    import pyarrow as pa
+
+    now, kept, classes = None, {}, math.ceil(math.log2(1 / most))
+    for b in batches:
+        out = []
+        for name, lo, hi in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if name != now:
+                now, kept = name, {}
+            n = hi - lo + 1
+            # Ranges this alike differ by few powers of two in length, and start within n (1 / most - 1) lines.
+            level = n.bit_length()
+            hit = False
+            for size in range(max(0, level - classes), level + classes + 1):
+                cell = 1 << size
+                reach = int(n * (1 / most - 1)) + 1
+                for place in range((lo - reach) // cell, (lo + reach) // cell + 1):
+                    for x, y in kept.get((size, place), ()):
+                        hit = hit or (min(hi, y) - max(lo, x) + 1) / (max(hi, y) - min(lo, x) + 1) > most
+            if hit:
+                out.append((name, lo, hi))
+            else:
+                kept.setdefault((level, lo // (1 << level)), []).append((lo, hi))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file_path", "start_line", "end_line"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,49 +45,88 @@ def find_similar(chunks: DataFrame, query: list[float], k: int = 10, vector: str
     return near.withColumn("similarity", 1 / (1 + F.col("distance")))
 
 
-def knn_join(queries: DataFrame, chunks: DataFrame, k: int = 10, vector: str = "embedding", key: str = "id", block: int = 8192) -> DataFrame:
-    """For each ``queries(query_id, v)`` its ``k`` nearest chunks, exact.
+def knn_join(queries: DataFrame, chunks: DataFrame, k: int = 10, vector: str = "embedding", key: str = "id", shard_bytes: int = 64 << 20, at_once: int = 256) -> DataFrame:
+    """For each ``queries(query_id, v)`` its ``k`` nearest chunks, exact, ties by key.
 
-    Queries go out in blocks: each chunk partition multiplies a block of queries with its
-    own rows and passes on its ``k`` best per query, so what is shuffled is ``k`` rows per
-    query and partition, not all pairs.
+    Chunks are dealt to shards of about ``shard_bytes``; every shard is sent the queries,
+    multiplies ``at_once`` of them with its rows at a time and passes on its ``k`` best per
+    query. A task holds one shard, whatever the numbers of rows and queries. The product form
+    of the distance prunes with a slack that covers its rounding, the differences decide.
+    Null vectors and those with null or non-finite components have and are no neighbours;
+    vectors of several lengths are a ``dim_mismatch``.
     """
+    own = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where("v IS NOT NULL").select(F.col("query_id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    size = lambda d: d.select(F.size("v").alias("d"))
+    head = size(own).withColumn("c", F.lit(1)).unionByName(size(asked).withColumn("c", F.lit(0))).agg(F.sum("c").alias("n"), F.min("d").alias("low"), F.max("d").alias("dim")).first()
+    if head["low"] != head["dim"]:
+        raise VectorError("dim_mismatch", f"vectors have {head['low']} to {head['dim']} components")
+    dim = max(head["dim"] or 1, 1)
+    shards = max(chunks.sparkSession.sparkContext.defaultParallelism, math.ceil((head["n"] or 0) * dim * 8 / shard_bytes))
+    dealt = own.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    rows = dealt.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
+    near = rows.mapInArrow(lambda batches: _nearest_in_shards(batches, k, dim, at_once), "query_id bigint, id bigint, distance double")
+    return _top(near, k)
+
+
+def _nearest_in_shards(batches: Iterator, k: int, dim: int, at_once: int) -> Iterator:
+    """``(shard, asks, id, v)``, in each shard the chunks and then the queries, to the shard's ``k`` best per query."""
+    import numpy as np
+    import pyarrow as pa
+
+    now, ids, parts, held = None, [], [], None
+    for b in batches:
+        shard, asks, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks", "id"))
+        v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(asks) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(own)], strict=True):
+            if lo == hi:
+                continue
+            if shard[lo] != now:
+                now, ids, parts, held = shard[lo], [], [], None
+            if not asks[lo]:
+                fine = np.isfinite(v[lo:hi]).all(axis=1)
+                ids.append(own[lo:hi][fine])
+                parts.append(v[lo:hi][fine])
+                continue
+            if held is None:
+                held = (np.concatenate(ids), np.concatenate(parts)) if ids else (np.empty(0, np.int64), np.empty((0, dim)))
+                ids, parts = [], []
+            for at in range(lo, hi, at_once):
+                fine = np.isfinite(v[at : min(hi, at + at_once)]).all(axis=1)
+                names, q = own[at : min(hi, at + at_once)][fine], v[at : min(hi, at + at_once)][fine]
+                row, found, d = _nearest(q, *held, k)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(found), pa.array(d)], names=["query_id", "id", "distance"])
+
+
+def _nearest(q, ids, x, k: int, width: int = 2048, most: int = 1 << 21):
+    """The ``k`` rows of ``x`` nearest to each of ``q`` as flat (query row, id, squared distance)."""
     import numpy as np
 
-    n = queries.count()
-    if n > block:
-        parts = math.ceil(n / block)
-        out = None
-        for part in range(parts):
-            some = knn_join(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part), chunks, k, vector, key, 1 << 62)
-            out = some if out is None else out.unionByName(some)
-        return out
-    rows = queries.select("query_id", "v").collect()  # at most about ``block`` queries
-    ids = [r["query_id"] for r in rows]
-    q = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-
-    def run(batches):
-        import pyarrow as pa
-
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.zeros((len(ids), k), dtype=np.int64)
-        for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(own), 1024):
-                part, names = x[at : at + 1024], own[at : at + 1024]
-                for lo in range(0, len(ids), 512):
-                    d = ((q[lo : lo + 512, None, :] - part[None]) ** 2).sum(axis=2)
-                    alld = np.concatenate([best_d[lo : lo + 512], d], axis=1)
-                    alli = np.concatenate([best_i[lo : lo + 512], np.broadcast_to(names, d.shape)], axis=1)
-                    pick = np.lexsort((alli, alld), axis=1)[:, :k]
-                    best_d[lo : lo + 512] = np.take_along_axis(alld, pick, axis=1)
-                    best_i[lo : lo + 512] = np.take_along_axis(alli, pick, axis=1)
-        at, place = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(best_i[at, place]), pa.array(best_d[at, place])], names=["query_id", "id", "distance"])
-
-    near = chunks.select(F.col(key).cast("bigint"), vector).mapInArrow(run, "query_id bigint, id bigint, distance double")
-    return _top(near, k)
+    row, found, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    worst = np.full(len(q), np.inf)
+    qq = (q * q).sum(axis=1)
+    step = max(1, most // max(1, x.shape[1]))
+    for lo in range(0, len(x), width):
+        part = x[lo : lo + width]
+        xx = (part * part).sum(axis=1)
+        about = qq[:, None] + xx[None] - 2 * (q @ part.T)
+        slack = 1e-15 * (8 + x.shape[1]) * (qq + xx.max(initial=0.0))
+        bound = worst + slack
+        if len(part) > k:
+            bound = np.minimum(bound, np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * slack)
+        at, col = np.nonzero(about <= bound[:, None])
+        exact = np.concatenate([((q[at[s : s + step]] - part[col[s : s + step]]) ** 2).sum(axis=1) for s in range(0, len(at), step)] or [np.empty(0)])
+        row, found, d = np.concatenate([row, at]), np.concatenate([found, ids[lo + col]]), np.concatenate([d, exact])
+        order = np.lexsort((found, d, row))
+        row, found, d = row[order], found[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, found, d = row[place < k], found[place < k], d[place < k]
+        full = np.flatnonzero(np.bincount(row, minlength=len(q)) == k)
+        worst[full] = d[np.searchsorted(row, full, side="right") - 1]
+    return row, found, d
 
 
 def _top(near: DataFrame, k: int) -> DataFrame:

@@ -134,8 +134,13 @@ def z01(t):
 
 
 QUERIES["Z01_drop_overlaps"] = z01
-ORACLE["Z01_drop_overlaps"] = duck("facts") + """, h AS (SELECT CAST(entity AS STRING) AS file_path, CAST(observed / 1000 % 200 AS INT) AS start_line, min(observed) AS rank, CAST(observed / 1000 % 200 AS INT) + 9 AS end_line FROM facts GROUP BY ALL)
-SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.file_path = b.file_path AND b.rank < a.rank AND (least(a.end_line, b.end_line) - greatest(a.start_line, b.start_line) + 1) / (greatest(a.end_line, b.end_line) - least(a.start_line, b.start_line) + 1) > 0.7)"""
+ORACLE["Z01_drop_overlaps"] = duck("facts").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, h AS (SELECT CAST(entity AS STRING) AS file_path, CAST(observed / 1000 % 200 AS INT) AS start_line, min(observed) AS rank, CAST(observed / 1000 % 200 AS INT) + 9 AS end_line FROM facts GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rank, start_line) AS n FROM h),
+f(file_path, n, kept) AS (SELECT DISTINCT file_path, CAST(0 AS BIGINT), CAST([] AS STRUCT(s INT, e INT, r BIGINT)[]) FROM o UNION ALL SELECT f.file_path, o.n,
+  CASE WHEN len(list_filter(f.kept, lambda k: (least(o.end_line, k.e) - greatest(o.start_line, k.s) + 1) / (greatest(o.end_line, k.e) - least(o.start_line, k.s) + 1) > 0.7)) = 0 THEN list_append(f.kept, {'s': o.start_line, 'e': o.end_line, 'r': o.rank}) ELSE f.kept END
+  FROM f JOIN o ON o.file_path = f.file_path AND o.n = f.n + 1),
+l AS (SELECT file_path, unnest(kept) AS k FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY n DESC) = 1))
+SELECT file_path, k.s AS start_line, k.e AS end_line, k.r AS rank FROM l"""
 
 QUERIES["W01_implicit_rank"] = lambda t: t.hits.select("source", "rank", "file_path", "start_line")
 ORACLE["W01_implicit_rank"] = duck("hits") + "SELECT source, rank, file_path, start_line FROM hits"

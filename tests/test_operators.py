@@ -4,6 +4,7 @@ import random
 from collections import deque
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def test_vectors(spark):
     with pytest.raises(vector.VectorError):
         vector.check_dimension(8)
     q = spark.createDataFrame([(7, [1.0, 0.1])], "query_id bigint, v array<float>")
-    assert [r["id"] for r in vector.knn_join(q, c, 2, block=1).orderBy("rank").collect()] == [2, 1]
+    assert [r["id"] for r in vector.knn_join(q, c, 2, shard_bytes=16).orderBy("rank").collect()] == [2, 1]
 
 
 def _leaders(items, t):
@@ -348,3 +349,39 @@ def test_two_writers_of_one_version(spark, tmp_path):
     with pytest.raises(FileExistsError):
         b.commit(spark.range(3))
     assert a.read().count() == 2 and len(a.versions()) == 2
+
+
+def test_knn_join_with_ties_in_bulk(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(3000, 40)), 1)
+    x[1000:2200] = x[0]  # more equal rows than are asked for
+    rows = [(k, [float(a) for a in v]) for k, v in enumerate(x)]
+    c = spark.createDataFrame([*rows, (5000, None), (5001, [float("nan")] * 40)], "id bigint, embedding array<double>")
+    q = c.where("id % 50 = 0").selectExpr("id AS query_id", "embedding AS v")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in vector.knn_join(q, c, 7, shard_bytes=100_000, at_once=11).collect()}
+    want = {}
+    for k in range(0, 3000, 50):
+        d = ((x - x[k]) ** 2).sum(axis=1)
+        for n, i in enumerate(np.lexsort((np.arange(3000), d))[:7]):
+            want[k, n + 1] = (i, d[i])
+    assert {k: i for k, (i, _) in got.items()} == {k: i for k, (i, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert vector.knn_join(q.limit(0), c, 2).count() == 0 and vector.knn_join(q, c.limit(0), 2).count() == 0
+    short = spark.createDataFrame([(1, [1.0])], "query_id bigint, v array<double>")
+    with pytest.raises(vector.VectorError):
+        vector.knn_join(short, c, 2)
+
+
+def test_drop_overlaps_is_greedy(spark):
+    cols = "file_path string, start_line int, end_line int, rank int, note string"
+    # b goes for a; c overlaps b enough but a too little, and b is gone, so c stays
+    rows = [("f", 1, 20, 1, "a"), ("f", 4, 23, 2, "b"), ("f", 7, 26, 3, "c"), ("f", 1, 20, 4, "again"), ("g", 4, 23, 9, "d"), (None, 1, 20, 5, "e"), ("f", 1, 20, None, "f"), ("f", 9, 2, 1, "g")]
+    got = context.drop_overlaps(spark.createDataFrame(rows, cols))
+    assert sorted(r["note"] for r in got.collect()) == ["a", "c", "d", "e", "f", "g"]
+    rng = np.random.default_rng(2)
+    many = [("h", int(s), int(s + n), k, "") for k, (s, n) in enumerate(zip(rng.integers(-50, 300, 900), rng.integers(0, 60, 900), strict=True))]
+    kept = []
+    for r in many:
+        if all((min(r[2], o[2]) - max(r[1], o[1]) + 1) / (max(r[2], o[2]) - min(r[1], o[1]) + 1) <= 0.7 for o in kept):
+            kept.append(r)
+    assert sorted(r["rank"] for r in context.drop_overlaps(spark.createDataFrame(many, cols)).collect()) == [r[3] for r in kept]
