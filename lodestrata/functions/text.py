@@ -12,6 +12,7 @@ SERVERS = {"python": "pyright", "rust": "rust-analyzer", "typescript": "tsserver
 ROLES = ((1, "definition"), (2, "import"), (4, "write_access"), (8, "read_access"), (16, "generated"), (32, "test"), (64, "forward_definition"))
 # Numeric symbol kinds of the language server protocol folded to entity kinds.
 ENTITY_KINDS = {"function": (6, 9, 12), "type": (5, 10, 11, 23), "module": (2, 3, 4), "variable": (7, 8, 13, 14)}
+SYMBOL_KINDS = ("function", "method", "class", "struct", "enum", "trait", "interface", "type_alias", "constant", "module")
 CHUNK_KINDS = ("function", "method", "class", "struct", "enum", "trait", "interface")
 
 
@@ -83,9 +84,20 @@ def first_lines(text: Column, n: int = 3) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.array_join(found, "\n"))
 
 
+def doc_paragraph(doc: Column) -> Column:
+    """A doc comment's first paragraph, without white space at its end.
+
+    It ends at the first empty line; in a comment without one, at the first line after its
+    first words that holds comment marks (``/ ! *``) and white space only.
+    """
+    marked = F.regexp_extract(doc, r"(?U)^([\s/!*]*[^\s/!*][^\n]*(?:\n[^\n]*[^\s/!*][^\n]*)*)", 1)
+    head = F.when(F.contains(doc, F.lit("\n\n")), F.substring_index(doc, "\n\n", 1)).when(marked != "", marked).otherwise(doc)
+    return F.regexp_replace(head, r"(?U)\s+$", "")
+
+
 def signature_chunk(sig: Column, doc: Column) -> Column:
     """A signature, and the doc comment's first paragraph below a blank line."""
-    paragraph = F.regexp_extract(F.coalesce(doc, F.lit("")), r"(?s)^\s*(.*?)\s*(?:\n\s*\n|$)", 1)
+    paragraph = doc_paragraph(F.coalesce(doc, F.lit("")))
     return F.when(paragraph == "", sig).otherwise(F.concat(sig, F.lit("\n\n"), paragraph))
 
 
@@ -146,6 +158,16 @@ def mapped(key: Column, table: dict, default: str | None = None) -> Column:
     return out
 
 
+def tag(name: Column, known: tuple[str, ...]) -> Column:
+    """The name in lower case, or ``unknown`` if it isn't a known one."""
+    return F.when(F.lower(name).isin(*known), F.lower(name)).otherwise(F.lit("unknown"))
+
+
+def counted(n: Column, one: str, many: str, none: str) -> Column:
+    """``1 match``, ``3 matches``, or the text for none."""
+    return F.when(n == 0, F.lit(none)).otherwise(F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many)))
+
+
 def entity_kind(code: Column) -> Column:
     out = F.lit("symbol")
     for name, codes in ENTITY_KINDS.items():

@@ -74,6 +74,17 @@ def latency_report(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool").agg(F.count("*").alias("calls"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
 
 
+def covering_tests(coverage: DataFrame, changed: DataFrame) -> DataFrame:
+    """``coverage(test_path, file_path, lo, hi)`` and ``changed(file_path, lo, hi)`` to tests that run changed lines.
+
+    A row a test: how many changed files it runs, and those in order.
+    """
+    c = changed.select("file_path", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
+    ran = coverage.select("test_path", "file_path", "lo", "hi").distinct().join(c, "file_path").where(overlap(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
+    pairs = ran.select("test_path", "file_path").distinct()
+    return pairs.groupBy("test_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("files"))
+
+
 def drop_overlaps(hits: DataFrame, most: float = 0.7) -> DataFrame:
     """Of hits in one file whose line ranges overlap by more than ``most`` (Jaccard) the best-ranked is kept.
 

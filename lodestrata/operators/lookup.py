@@ -201,3 +201,23 @@ def call_hierarchy(root: DataFrame) -> tuple[DataFrame, DataFrame]:
 def file_entities(entities: DataFrame, *spellings: str) -> DataFrame:
     """Entities stored under any spelling of a file's path, once each."""
     return entities.where(F.col("file_path").isin(*spellings)).dropDuplicates(["id"])
+
+
+def occurrence_fields(occurrences: DataFrame) -> DataFrame:
+    """``(symbol, kind, role, file_path, start_line, end_line, pos)`` to a row a field, as field fusion reads them."""
+    names = ("symbol", "kind", "role")
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in names])
+    out = occurrences.select(F.lit("scip").alias("source"), "pos", "file_path", "start_line", "end_line", F.explode(pairs).alias("f"))
+    return out.select("source", "pos", "file_path", "start_line", "end_line", "f.field", "f.value")
+
+
+def export_edges(entities: DataFrame, relations: DataFrame, form: str) -> DataFrame:
+    """``(id, line)`` of the relations between stored entities as ``dot``, ``json`` or ``csv`` lines."""
+    name = F.coalesce("qualified_name", "name")
+    named = relations.join(entities.select(F.col("id").alias("source_id"), name.alias("source")), "source_id").join(entities.select(F.col("id").alias("target_id"), name.alias("target")), "target_id")
+    row = F.struct("id", "source", "target", "kind", "weight")
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"'))
+    forms = {"dot": F.concat(quoted("source"), F.lit(" -> "), quoted("target"), F.lit(" [label="), quoted("kind"), F.lit("];")), "json": F.to_json(row), "csv": F.to_csv(row)}
+    if form not in forms:
+        raise ValueError(f"{form!r} is none of {sorted(forms)}")
+    return named.select("id", forms[form].alias("line"))

@@ -157,3 +157,17 @@ def check_version(stored: int | None, own: int) -> int:
     if stored is not None and stored > own:
         raise ValueError(f"the table has version {stored}, this program knows {own}")
     return own
+
+
+def appended(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with the new rows after it; their ids go on from the largest, in the order of their columns."""
+    from lodestrata.operators.graph import numbered
+
+    first = log.agg(F.max("id")).first()[0] or 0
+    added = numbered(new, [F.asc(c) for c in new.columns], "id").withColumn("id", F.col("id") + first)
+    return log.unionByName(added.select(*log.columns))
+
+
+def next_batch(rows: DataFrame, n: int = 256) -> DataFrame:
+    """The ``n`` oldest rows that aren't promoted yet, by id."""
+    return rows.where(~F.coalesce("promoted", F.lit(False))).orderBy("id").limit(n)

@@ -58,11 +58,13 @@ def knn_join(queries: DataFrame, chunks: DataFrame, k: int = 10, vector: str = "
     own = chunks.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where("v IS NOT NULL").select(F.col("query_id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
     size = lambda d: d.select(F.size("v").alias("d"))
-    head = size(own).withColumn("c", F.lit(1)).unionByName(size(asked).withColumn("c", F.lit(0))).agg(F.sum("c").alias("n"), F.min("d").alias("low"), F.max("d").alias("dim")).first()
+    head = size(own).withColumn("c", F.lit(1)).unionByName(size(asked).withColumn("c", F.lit(0))).agg(F.sum("c").alias("n"), F.count("*").alias("all"), F.min("d").alias("low"), F.max("d").alias("dim")).first()
     if head["low"] != head["dim"]:
         raise VectorError("dim_mismatch", f"vectors have {head['low']} to {head['dim']} components")
     dim = max(head["dim"] or 1, 1)
-    shards = max(chunks.sparkSession.sparkContext.defaultParallelism, math.ceil((head["n"] or 0) * dim * 8 / shard_bytes))
+    n, asks = head["n"] or 0, head["all"] - (head["n"] or 0)
+    busy = min(chunks.sparkSession.sparkContext.defaultParallelism, n * asks * dim >> 28)  # little work needs few tasks
+    shards = max(1, busy, math.ceil(n * dim * 8 / shard_bytes))
     dealt = own.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
     rows = dealt.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
-from lodestrata.operators import context, fusion, graph, lookup, merge, vector
+from lodestrata.operators import context, fusion, graph, lookup, merge, snapshots, vector
 from lodestrata.sources import files
 
 Tables = Mapping[str, DataFrame]
@@ -32,6 +32,13 @@ def find_definition(t: Tables, name: str, file_path: str | None = None) -> tuple
     return found, lookup.callers(t["entities"], t["relations"], found.select(F.col("id").alias("target_id"))).orderBy("edge_id")
 
 
+def enrich_definition(found: DataFrame, hover: DataFrame | None) -> DataFrame:
+    """Definitions with the text of ``hover(qualified_name, text)``, the least in a tie, or null; none is lost."""
+    if hover is None:
+        return found.withColumn("hover", F.lit(None).cast("string"))
+    return found.join(hover.groupBy("qualified_name").agg(F.min("text").alias("hover")), "qualified_name", "left")
+
+
 def find_references(t: Tables, name: str) -> DataFrame:
     """Relations into the symbol by kind, with the referring entity."""
     found = lookup.resolve_symbol(t["entities"], name).select(F.col("id").alias("target_id"))
@@ -104,10 +111,7 @@ def type_check(t: Tables, paths: list[str] | None = None) -> DataFrame:
 
 def remember(t: Tables, new: DataFrame) -> DataFrame:
     """The observation log with the new rows; ids go on from the largest."""
-    log = t["observations"]
-    first = log.agg(F.max("id")).first()[0] or 0
-    added = graph.numbered(new, [F.asc(c) for c in new.columns], "id").withColumn("id", F.col("id") + first)
-    return log.unionByName(added.select(*log.columns))
+    return snapshots.appended(t["observations"], new)
 
 
 def get_context_for_edit(t: Tables, in_context: DataFrame, budget: int = 8000) -> DataFrame:
