@@ -1,26 +1,21 @@
 """Traversals and ranking over edge tables, level by level.
 
 Each level is one join of the frontier with the edges; levels are cut with
-``checkpoint`` tables so plans don't grow. The only values that reach the driver are
+stored tables so plans don't grow. The only values that reach the driver are
 a level's row count and a rank round's change.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import stored
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, its lineage dropped."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the cluster's shared folder, its lineage dropped."""
+    return stored(df, "level")
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -76,7 +76,9 @@ def t18(t):
     return mark(low, "low").unionByName(mark(high, "high"))
 
 
-QUERIES["T18_text_search"] = t18
+# Previews hold 1,024 bytes without a character that the cut splits.
+_PREVIEW = r"""md5(unhex(CASE WHEN strlen(line) <= 1024 THEN hex(encode(line)) ELSE regexp_replace(substr(hex(encode(line)), 1, 2048), '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$', '\1') END)) AS preview"""
+both("T18_text_search", t18, rf"""SELECT 'low' AS pattern, file_path AS path, CAST(line_no AS BIGINT) AS line, {_PREVIEW} FROM lines WHERE regexp_matches(line, '(?i)th[ae]n\b') UNION ALL SELECT 'high', file_path, CAST(line_no AS BIGINT), {_PREVIEW} FROM lines WHERE regexp_matches(line, 'The\b')""", "lines")
 both("T18_matching_lines", lambda t: t18(t).select("pattern", "path", "line"), """, x AS (SELECT *, line_no AS line_number FROM lines)
 SELECT 'low' AS pattern, file_path AS path, CAST(line_no AS BIGINT) AS line FROM lines WHERE regexp_matches(line, '(?i)th[ae]n\\b') UNION ALL SELECT 'high', file_path, CAST(line_no AS BIGINT) FROM lines WHERE regexp_matches(line, 'The\\b')""", "lines")
 both("T19_jaccard", lambda t: t.lines.select("doc_id", "line_no", F.round(text.jaccard(c("line"), F.lit("the of and a in is that")), 9).alias("j")),

@@ -47,8 +47,8 @@ def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     In id order a row joins the first cluster of its symbol (null equals null) whose
     leader's word set is similar enough, else it leads a new one. The order matters, so a
-    symbol's rows are taken in turn; leaders are found through their rarest words, so
-    rows are not compared with every leader.
+    symbol's rows are taken in turn; leaders are found through a tenth of their words,
+    the longest, which few rows share, so rows are not compared with every leader.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -67,7 +67,7 @@ def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
                     found = len(leaders)
                     leaders.append((i, words))
                     # two sets this similar share a word among any (1 - threshold) share of the leader's words, plus one
-                    for w in sorted(words)[: int((1 - threshold) * len(words) + 1e-9) + 1]:
+                    for w in sorted(words, key=lambda w: (-len(w), w))[: int((1 - threshold) * len(words) + 1e-9) + 1]:
                         index.setdefault(w, []).append(found)
                 out.append(leaders[found][0])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.int64())], names=["id", "leader"])
