@@ -6,23 +6,14 @@ it back, so a lost executor costs a re-read, never a lost block.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 50_000
-
+from lodestrata.session import shared_root, stored
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local folder of our own only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/lodestrata-shared"
+SMALL_ROWS = 50_000
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -30,11 +21,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back; removed when the application ends."""
+    return stored(df, label)
 
 
 def near(small: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
