@@ -68,5 +68,42 @@ FROM e JOIN s USING (key) LEFT JOIN o ON o.key = e.key AND o.prio = e.prio
 """
 
 
+#: CRC-32 of a decimal number's ASCII text, a bit a step.
+_CRC = """xor(4294967295, list_reduce(flatten(list_transform(range(1, length({c}::VARCHAR) + 1), lambda k: [ascii(substr({c}::VARCHAR, k::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295::BIGINT))"""
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS h, turn, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, h, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h) AS k FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, CAST({_CRC.format(c="conv_id")} % 4 AS BIGINT) AS n FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS side, o.k, o.h, o.words FROM c JOIN o ON o.conv_id = c.base AND o.k <= c.n UNION ALL SELECT c.conv_id, 1, o.k, o.h, o.words FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.n),
+p AS (SELECT conv_id, row_number() OVER w AS depth, array_to_string(list(h) OVER w, '') AS node, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY side, k ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT conv_id, 0 AS depth, '' AS node, 0 AS words FROM c UNION ALL SELECT * FROM p),
+e AS (SELECT conv_id, arg_max(node, depth) AS node FROM q GROUP BY 1),
+s AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM e GROUP BY 1),
+n AS (SELECT node, depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs FROM q GROUP BY ALL),
+f AS (SELECT n.*, u.node AS parent, u.conv_id AS parent_conv_id FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.node = left(n.node, 64 * (n.depth::INT - 1))),
+k AS (SELECT parent AS node, count(*) AS n_children FROM f WHERE depth > 0 GROUP BY 1),
+b AS (SELECT q.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens FROM f JOIN q ON q.conv_id = f.conv_id AND q.depth <= f.depth LEFT JOIN k ON k.node = f.node GROUP BY 1)
+SELECT f.conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM f JOIN b USING (node) LEFT JOIN k USING (node) LEFT JOIN s USING (node)
+"""
+
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, count(*) AS v FROM k GROUP BY 1) v USING (lang) LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL) x USING (lang, source)),
+p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000 * (CAST(sum(n) AS BIGINT) + 5)) // (CAST(any_value(total) AS BIGINT) + 5 * any_value(v)) AS q FROM p JOIN (SELECT lang, sum(n) AS total, any_value(v) AS v FROM g GROUP BY 1) USING (lang) GROUP BY ALL),
+a AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, (SELECT CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) FROM p x JOIN p y ON x.term = y.term WHERE x.lang = a.lang AND y.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL SELECT p.lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM a QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op3_exact_dedup": OP3, "op10_source_mixing": OP10}
+    return {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op3_exact_dedup": OP3, "op10_source_mixing": OP10, "op11_prefix_trie": OP11, "op12_source_divergence": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import covertree, gracededup, mixing, packing, pii, simhash, toxicity, urltrees, warc, weaklabel
+from lodestrata.llm import covertree, divergence, gracededup, mixing, nndescent, packing, pii, prefixtrie, simhash, toxicity, urltrees, warc, weaklabel
 from lodestrata.session import ready
 
 
@@ -64,6 +64,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_takes(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest_neighbours(_read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii_pseudonyms,
         op9_best_fit_packing,
         op10_source_mixing,
+        op11_prefix_trie,
+        op12_source_divergence,
+        op13_nn_descent,
         pipeline,
     )
     return {f.__name__: f for f in named}
