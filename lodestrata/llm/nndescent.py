@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a neighbour graph from NN-descent, searched greedily.
 
 Equal vectors are one node. Nodes are numbered in the order of a projection tree that is
-fitted on a bounded sample, and cut into blocks of equal size. NN-descent joins each
+fitted on a bounded sample, and cut into blocks of equal size; first lists come from those
+blocks and from the blocks of a second tree, so that they lead across. NN-descent joins each
 node's neighbours with each other, round by round, as Spark joins: a block is sent the
 lists of its nodes and, once each, the vectors these name; what improves a node's list is
 merged by node. A query starts at its own node and at some entry points and expands the
@@ -30,7 +31,7 @@ SAMPLE, LEAF, ENTRIES = 16_384, 64, 256
 #: Descent ends when a round renews less than this share of all list entries, or after so many rounds.
 RENEWED, ROUNDS = 0.02, 8
 #: A query's beam, and how many of it are expanded a round.
-BEAM, EXPAND = 64, 32
+BEAM, EXPAND = 64, 64
 
 _LISTS = "key bigint, pos array<bigint>, score array<float>, flag array<boolean>"
 
@@ -85,17 +86,19 @@ def build(vectors: DataFrame, keep: int) -> Index:
         raise ValueError(f"vectors have {head['low']} to {head['dim']} components")
     count, dim, scale = head["n"], head["dim"] or 1, head["scale"] or 1.0
     blocks = max(1, math.ceil(count / BLOCK_ROWS))
-    tree, entry = _fit(distinct, dim, scale)
-    schema = "h1 bigint, h2 bigint, v array<double>, ids array<bigint>, vec binary, leaf int"
-    placed = distinct.select("h1", "h2", "v", "ids").mapInArrow(lambda b: _placed(b, dim, scale, tree), schema)
-    nodes = numbered(placed, ["leaf", "h1", "h2"], "pos").withColumn("pos", F.col("pos") - 1)
-    nodes = table(nodes.withColumn("block", _block(F.col("pos"), blocks, count)).drop("leaf"), "nodes")
+    trees, entry = _fit(distinct, dim, scale)
+    schema = "h1 bigint, h2 bigint, v array<double>, ids array<bigint>, vec binary, leaf0 int, leaf1 int"
+    placed = distinct.select("h1", "h2", "v", "ids").mapInArrow(lambda b: _placed(b, dim, scale, trees), schema)
+    nodes = numbered(placed, ["leaf0", "h1", "h2"], "pos").withColumn("pos", F.col("pos") - 1)
+    nodes = table(nodes.withColumn("block", _block(F.col("pos"), blocks, count)).drop("leaf0"), "nodes")
     # entry points are known by what they are until they have a number
     seeds = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(entry, "h1 bigint, h2 bigint")), ["h1", "h2"], "left_semi").select("pos", "vec")
     seeds = tuple((r["pos"], bytes(r["vec"])) for r in seeds.collect())  # at most 2 ENTRIES
 
-    lists = nodes.select("block", "pos", "vec").repartition(blocks, "block").sortWithinPartitions("block", "pos")
-    lists = table(lists.mapInArrow(lambda b: _within(b, dim), _LISTS), "lists")
+    other = numbered(nodes.select("pos", "vec", "leaf1"), ["leaf1", "pos"], "at")
+    both = [nodes.select("block", "pos", "vec"), other.select(_block(F.col("at") - 1, blocks, count).alias("block"), "pos", "vec")][: min(2, blocks)]
+    near = [rows.repartition(blocks, "block").sortWithinPartitions("block", "pos").mapInArrow(lambda b: _within(b, dim), _LISTS) for rows in both]
+    lists = table(_merged(near[0].unionByName(near[-1]), NEIGHBOURS) if len(near) > 1 else near[0], "lists")
     for number in range(ROUNDS):
         lists = table(_descend(nodes, lists, number, dim, blocks, count), "lists")
         renewed = lists.agg(F.sum(F.size(F.filter("flag", lambda x: ~x)))).first()[0] or 0
@@ -116,7 +119,7 @@ def _block(pos: Column, blocks: int, count: int) -> Column:
 
 
 def _fit(distinct: DataFrame, dim: int, scale: float) -> tuple[tuple, list]:
-    """The projection tree, as (normals, offsets) of a full binary tree, and the keys of entry points: a sample and the longest vectors."""
+    """Two projection trees, each as (normals, offsets) of a full binary tree, and the keys of entry points: a sample and the longest vectors."""
     import numpy as np
 
     drawn = distinct.orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE).select("h1", "h2", "v").collect()
@@ -124,8 +127,14 @@ def _fit(distinct: DataFrame, dim: int, scale: float) -> tuple[tuple, list]:
     entry = [(r["h1"], r["h2"]) for r in [*drawn[:ENTRIES], *longest]]
     x = np.array([r["v"] for r in drawn], np.float64).reshape(-1, dim) / scale
     depth = max(0, math.ceil(math.log2(max(1, len(x)) / LEAF)))
-    normals, offsets = np.zeros((2**depth - 1, dim), np.float32), np.zeros(2**depth - 1, np.float32)
-    r, parts = np.random.default_rng(1), {0: np.arange(len(x))}
+    return [_tree(x, depth, seed) for seed in (1, 2)], entry
+
+
+def _tree(x, depth: int, seed: int) -> tuple:
+    import numpy as np
+
+    normals, offsets = np.zeros((2**depth - 1, x.shape[1]), np.float32), np.zeros(2**depth - 1, np.float32)
+    r, parts = np.random.default_rng(seed), {0: np.arange(len(x))}
     for node in range(len(normals)):
         own = parts.pop(node)
         if len(own) < 2:
@@ -138,24 +147,26 @@ def _fit(distinct: DataFrame, dim: int, scale: float) -> tuple[tuple, list]:
         at = x[own] @ normals[node]
         offsets[node] = np.median(at)
         parts[2 * node + 1], parts[2 * node + 2] = own[at < offsets[node]], own[at >= offsets[node]]
-    return (normals, offsets, depth), entry
+    return normals, offsets, depth
 
 
-def _placed(batches: Iterator, dim: int, scale: float, tree: tuple) -> Iterator:
-    """Adds the half-precision vector of equal length, and the tree's leaf."""
+def _placed(batches: Iterator, dim: int, scale: float, trees: list) -> Iterator:
+    """Adds the half-precision vector of equal length, and the trees' leaves."""
     import numpy as np
     import pyarrow as pa
 
-    normals, offsets, depth = tree
     for b in batches:
         x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) / scale
         more = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
         half = np.column_stack([x, more]).astype(np.float16)
-        at = np.zeros(len(x), np.int64)
-        for _ in range(depth):
-            at = 2 * at + 1 + ((x * normals[at]).sum(axis=1) >= offsets[at])
+        leaves = []
+        for normals, offsets, depth in trees:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                at = 2 * at + 1 + ((x * normals[at]).sum(axis=1) >= offsets[at])
+            leaves.append(pa.array(at.astype(np.int32)))
         vec = pa.array([h.tobytes() for h in half], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), b.column("v"), b.column("ids"), vec, pa.array(at.astype(np.int32))], names=["h1", "h2", "v", "ids", "vec", "leaf"])
+        yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), b.column("v"), b.column("ids"), vec, *leaves], names=["h1", "h2", "v", "ids", "vec", "leaf0", "leaf1"])
 
 
 def _matrix(vecs, dim: int):
@@ -380,7 +391,7 @@ def _started(batches: Iterator, dim: int, entry: tuple) -> Iterator:
         s = q @ x.T
         out = []
         for own, row in zip(b.column("pos").to_pylist(), s, strict=True):
-            top = np.argsort(-row, kind="stable")[: EXPAND // 4]
+            top = np.argsort(-row, kind="stable")[:8]
             pos, score = names[top].tolist(), row[top].tolist()
             if own is not None and own not in pos:  # its score isn't known here; it is expanded at once and can't be an answer
                 pos, score = [own, *pos], [2.0, *score]
