@@ -9,7 +9,7 @@ merged by node. A query starts at its own node and at some entry points and expa
 best unexpanded nodes of its beam, a join with the blocks a round, until none is left.
 
 Inner products are made comparable by one more component (all nodes get equal length), so
-the graph is one of plain distances. Half precision finds, double precision ranks.
+the graph is one of plain distances. Single precision finds, double precision ranks.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.scratch import place, shielded, table
 from lodestrata.operators.graph import numbered
 
-#: Neighbours of a node, as many of those that name it, and nodes of a block.
-NEIGHBOURS, BLOCK_ROWS = 24, 8_192
+#: Neighbours of a node, as many of those that name it, and nodes of a block at most and at least.
+NEIGHBOURS, BLOCK_ROWS, LEAST_ROWS = 24, 8_192, 512
 #: Vectors on which the projection tree is fitted, its leaves' share of them, and entry points.
 SAMPLE, LEAF, ENTRIES = 16_384, 64, 256
 #: Descent ends when a round renews less than this share of all list entries, or after so many rounds.
@@ -85,7 +85,9 @@ def build(vectors: DataFrame, keep: int) -> Index:
     if head["low"] != head["dim"]:
         raise ValueError(f"vectors have {head['low']} to {head['dim']} components")
     count, dim, scale = head["n"], head["dim"] or 1, head["scale"] or 1.0
-    blocks = max(1, math.ceil(count / BLOCK_ROWS))
+    # no more than BLOCK_ROWS a block, and work for all cores where that leaves a block LEAST_ROWS
+    busy = min(vectors.sparkSession.sparkContext.defaultParallelism, count // LEAST_ROWS)
+    blocks = max(1, busy, math.ceil(count / BLOCK_ROWS))
     trees, entry = _fit(distinct, dim, scale)
     schema = "h1 bigint, h2 bigint, v array<double>, ids array<bigint>, vec binary, leaf0 int, leaf1 int"
     placed = distinct.select("h1", "h2", "v", "ids").mapInArrow(lambda b: _placed(b, dim, scale, trees), schema)
@@ -151,28 +153,28 @@ def _tree(x, depth: int, seed: int) -> tuple:
 
 
 def _placed(batches: Iterator, dim: int, scale: float, trees: list) -> Iterator:
-    """Adds the half-precision vector of equal length, and the trees' leaves."""
+    """Adds the single-precision vector of equal length, and the trees' leaves."""
     import numpy as np
     import pyarrow as pa
 
     for b in batches:
         x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) / scale
         more = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
-        half = np.column_stack([x, more]).astype(np.float16)
+        full = np.column_stack([x, more]).astype(np.float32)
         leaves = []
         for normals, offsets, depth in trees:
             at = np.zeros(len(x), np.int64)
             for _ in range(depth):
                 at = 2 * at + 1 + ((x * normals[at]).sum(axis=1) >= offsets[at])
             leaves.append(pa.array(at.astype(np.int32)))
-        vec = pa.array([h.tobytes() for h in half], pa.binary())
+        vec = pa.array([f.tobytes() for f in full], pa.binary())
         yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), b.column("v"), b.column("ids"), vec, *leaves], names=["h1", "h2", "v", "ids", "vec", "leaf0", "leaf1"])
 
 
 def _matrix(vecs, dim: int):
     import numpy as np
 
-    return np.frombuffer(b"".join(vecs), np.float16).reshape(-1, dim + 1).astype(np.float32)
+    return np.frombuffer(b"".join(vecs), np.float32).reshape(-1, dim + 1)
 
 
 def _best(key, pos, score, flag, width: int):
