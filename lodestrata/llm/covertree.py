@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
 from lodestrata.llm.forest import Forest
-from lodestrata.llm.scratch import table
+from lodestrata.llm.scratch import sampled, table
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
@@ -259,8 +259,7 @@ def _traverse(cosine: float):
 def _pivots(distinct: DataFrame, block_rows: int) -> dict[int, tuple[int, np.ndarray]]:
     """Farthest-first centres by dimension, from at most PIVOT_SAMPLE vectors; they only place cells."""
     n = distinct.count()
-    share = min(1.0, PIVOT_SAMPLE / max(1, n))
-    few = distinct if share >= 1 else distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    few = sampled(distinct, F.xxhash64("key"), n, PIVOT_SAMPLE)
     picked = sorted(r["key"] for r in few.select("key").limit(2 * PIVOT_SAMPLE).collect())
     dims = {r["d"]: r["n"] for r in distinct.groupBy(_dim_column().alias("d")).agg(F.count("*").alias("n")).collect()}
     out, first = {}, 0

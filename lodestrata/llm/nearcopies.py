@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import simhash
 from lodestrata.llm.components import components
-from lodestrata.llm.scratch import near, place, shielded, table, unshielded
+from lodestrata.llm.scratch import near, place, sampled, shielded, table, unshielded
 
 SAMPLE = 20_000
 #: Shingles before the shared one by which a pair that met already is told.
@@ -105,8 +105,7 @@ def _sets_of(nodes: DataFrame, words: int) -> DataFrame:
 
 def _common(nodes: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts) of those that at least COMMON documents of a sample hold, the commonest MAX_COMMON at most."""
-    share = min(1.0, SAMPLE / max(1, nodes.count()))
-    some = nodes.where(F.pmod("node", F.lit(1 << 20)) < int(share * (1 << 20)))
+    some = sampled(nodes, F.col("node"), nodes.count(), SAMPLE)
     counted = _sets_of(some, words).select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     got = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MAX_COMMON).toArrow()
     h = got.column("h").to_numpy().view(np.uint64)

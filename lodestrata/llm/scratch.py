@@ -30,6 +30,27 @@ def near(small: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def sampled(rows: DataFrame, at: Column, total: int, bound: int) -> DataFrame:
+    """About ``bound`` of ``total`` rows, by their hash ``at``: all rows of a hash or none.
+
+    The hash is compared to 62 bits, so that no share is rounded to nothing however long
+    the table. Where few values repeat so often that none was drawn, the share is taken of
+    the values instead; a sample of rows that is empty then is an error.
+    """
+    if total <= bound:
+        return rows
+    # the low bits first: a share of 2^-20 or more draws what those bits alone would
+    spread = F.shiftleft(at.bitwiseAND((1 << 20) - 1), 42).bitwiseOR(F.shiftrightunsigned(at, 20).bitwiseAND((1 << 42) - 1))
+    drawn = rows.where(spread < int(bound / total * (1 << 62)))
+    if not drawn.isEmpty():
+        return drawn
+    values = rows.agg(F.approx_count_distinct(at)).first()[0]
+    drawn = rows.where(spread < int(min(1.0, bound / max(1, values)) * (1 << 62)))
+    if drawn.isEmpty():
+        raise ValueError(f"no row was drawn of {total}")
+    return drawn
+
+
 def numbered(rows: DataFrame, *key: str) -> DataFrame:
     """``rows`` with ``number``, from 0, among those that are equal in the (non-null) ``key`` columns.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
 from lodestrata.llm.forest import Forest
-from lodestrata.llm.scratch import table
+from lodestrata.llm.scratch import sampled, table
 
 SAMPLE = 32_768
 SHARD_ROWS = 65_536
@@ -202,8 +202,7 @@ def linked(distinct: DataFrame, radius: int = 4, sample: int = SAMPLE, shard_row
     """
     n = distinct.count()
     shards = min(MAX_SHARDS, max(1, -(-n // shard_rows)))
-    share = min(1.0, sample / max(1, n))
-    picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else distinct
+    picked = sampled(distinct, F.xxhash64("fp"), n, sample)
     points = np.sort(np.array([r[0] for r in picked.limit(2 * sample).collect()], dtype=np.int64)).view(np.uint64)
     points = points[np.argsort(points * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
     tree, count = top_tree(points, shards) if points.size else ({"shard": 0}, 1)

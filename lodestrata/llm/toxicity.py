@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.features import Ftrl, SparseWeights, mix, word_hashes
-from lodestrata.llm.scratch import place, shielded, unshielded
+from lodestrata.llm.scratch import place, sampled, shielded, unshielded
 
 #: Labelled documents that training takes at most, about (they are chosen by a hash of the id).
 MAX_TRAINING = 8_000
@@ -103,14 +103,14 @@ def _learn(epochs: int, least_docs: int):
 def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, epochs: int = EPOCHS, least_docs: int = LEAST_DOCS) -> ToxicityModel:
     """A model from labelled texts: ``docs(id, text)`` and ``labels(id, y)``; null ids and labels are left out.
 
-    Only an expected ``max_training`` labelled rows are used, chosen by a hash of the id.
+    Only an expected ``max_training`` labelled rows are used, chosen by a hash of the id;
+    a row that repeats an id and its text counts once.
     """
     known = labels.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").cast("double").alias("y"))
     known = known.withColumn("at", F.xxhash64("id", F.lit("toxicity")))
     n = known.count()
-    if n > max_training:
-        known = known.where(F.pmod("at", F.lit(1 << 20)) < int(max_training / n * (1 << 20)))
-    rows = docs.join(known, "id").select("at", "y", "text").mapInArrow(_emit, "at bigint, y double, features binary")
+    known = sampled(known, F.col("at"), n, max_training)
+    rows = docs.join(known, "id").select("at", "y", "text").dropDuplicates().mapInArrow(_emit, "at bigint, y double, features binary")
     got = rows.repartition(1).sortWithinPartitions("at", "features").mapInArrow(_learn(epochs, least_docs), "key bigint, w double, is_bias boolean").collect()
     weights = [r for r in got if not r["is_bias"]]
     bias = next((r["w"] for r in got if r["is_bias"]), 0.0)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.scratch import sampled
+
 #: (verdict, host and path). A rule fits its host and all subdomains; the longest wins.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Rule-labelled urls that training takes at most, about (chosen by a hash of the url).
@@ -118,26 +120,28 @@ def _split(binned: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, l
     return best
 
 
-def train(rows: Sequence[tuple[str, str, str, int]], trees: int = TREES, l2: float = 1.0, least: float = 2.0) -> UrlModel:
-    """A model from (url, host, path, 1 for block) rows."""
+def train(rows: Sequence[tuple], trees: int = TREES, l2: float = 1.0, least: float = 2.0) -> UrlModel:
+    """A model from (url, host, path, 1 for block) rows; a fifth element says how often a row occurs."""
     y = np.array([r[3] for r in rows], dtype=np.float64)
+    times = np.array([r[4] if len(r) > 4 else 1 for r in rows], dtype=np.float64)
     if not len(y):
         return UrlModel(0.0, prior=-1.0)
-    base = float(y.mean())
-    prior = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    all_, bad = times.sum(), (times * y).sum()
+    base = float(bad / all_)
+    prior = math.log((bad + 0.5) / (all_ - bad + 0.5))
     seen, blocked = Counter(), Counter()
-    for _, host, path, block in rows:
+    for (_, host, path, block, *_), n in zip(rows, times.tolist(), strict=True):
         for key in enumerate(_suffixes(host, path)):
-            seen[key] += 1
-            blocked[key] += block
+            seen[key] += n
+            blocked[key] += n * block
     rates = {k: (blocked[k] + 20 * base) / (n + 20) for k, n in seen.items() if n >= 5}
-    x = np.array([lexical(u, h, p, rates, base) for u, h, p, _ in rows], dtype=np.float64)
+    x = np.array([lexical(u, h, p, rates, base) for u, h, p, *_ in rows], dtype=np.float64)
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS)[1:-1], method="lower")) for k in range(x.shape[1])]
     model = UrlModel(base, rates, prior, edges)
     binned, margin = model._bin(x), np.full(len(y), prior)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        g, h = times * (y - p), times * np.maximum(p * (1 - p), 1e-6)
         size = 2 ** (DEPTH + 1) - 1
         t = Tree(np.full(size, -1), np.zeros(size, dtype=np.int64), np.zeros(size))
         todo = [(0, np.arange(len(y)), 0)]
@@ -165,9 +169,9 @@ def fit(judged: DataFrame, max_training: int = MAX_TRAINING) -> UrlModel:
     """From ``judged(url, host, path, verdict)``; rows without a rule's verdict are left out."""
     known = judged.where("verdict IS NOT NULL AND url IS NOT NULL")
     n = known.count()
-    if n > max_training:
-        known = known.where(F.pmod(F.xxhash64("url", F.lit("url")), F.lit(1 << 20)) < int(max_training / n * (1 << 20)))
+    known = sampled(known, F.xxhash64("url", F.lit("url")), n, max_training)
     rows = known.select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
+    rows = rows.groupBy("url", "host", "path", "y").agg(F.count("*").alias("times"))  # a url's repeats never meet in one task
     got = rows.repartition(1).sortWithinPartitions("url", "y").mapInArrow(_learn, "model binary").first()
     return pickle.loads(got["model"]) if got else train([])
 

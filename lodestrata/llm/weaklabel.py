@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.features import Ftrl, slices
-from lodestrata.llm.scratch import place, shielded, unshielded
+from lodestrata.llm.scratch import place, sampled, shielded, unshielded
 
 #: Documents that the scorer's training takes at most, about (chosen by a hash of id and text).
 MAX_TRAINING = 12_000
@@ -251,8 +251,8 @@ def fit(docs: DataFrame, text_col: str = "text", max_training: int = MAX_TRAININ
     labels = estimate(patterns[order], counts[order])
     n = counts.sum()
     at = F.xxhash64("text", F.lit("quality"))
-    share = min(1.0, max_training / max(1, n))
-    picked = text.select(at.alias("at"), "text").distinct() if share >= 1 else text.select(at.alias("at"), "text").where(F.pmod("at", F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["at"])
+    marked = text.select(at.alias("at"), "text")
+    picked = marked.distinct() if n <= max_training else sampled(marked, F.col("at"), int(n), max_training).dropDuplicates(["at"])
     rows = picked.mapInArrow(_sampled, "at bigint, pattern bigint, columns binary, values binary")
     w = rows.repartition(1).sortWithinPartitions("at", "columns").mapInArrow(_learn(labels, epochs), "weights binary").first()
     return QualityModel(labels, np.frombuffer(w["weights"], dtype=np.float64) if w else np.zeros(DIMENSIONS))
