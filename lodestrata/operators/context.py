@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata import dims
-from lodestrata.functions.text import hit_tokens, overlap
+from lodestrata.functions.text import hit_tokens
+from lodestrata.operators.keywords import containing
 from lodestrata.operators.lookup import session_dedup
+from lodestrata.operators.sweep import touched
 
 
 def above_threshold(rows: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -38,19 +40,21 @@ def analyze_feedback(bonuses: DataFrame, call: DataFrame, edits: DataFrame) -> D
     """``(session_id, bonus_id, bonus_type, file_path, line_lo, line_hi, keyword)`` to a signal and an importance change.
 
     ``call(session_id, reason, files)`` is a session's next call, ``edits(session_id,
-    file_path, lo, hi, content)`` what it changed. Edits meet bonuses of a type that asks for
-    them only: by file, or by the distinct keywords and contents of a session.
+    file_path, lo, hi, content)`` what it changed. Lines are compared by a sweep over a
+    session's file, keywords are found by one pass over each distinct content, so neither
+    costs a test per pair.
     """
     key = ["session_id", "bonus_id", "bonus_type"]
     listed = F.array_contains("files", F.col("file_path"))
     told = F.when(F.col("bonus_type") == "pitfall", F.contains(F.lower("reason"), F.lower("keyword"))).when(F.col("bonus_type").isin("related_code", "test"), listed)
     by_call = bonuses.join(call, "session_id", "left").select(*key, F.coalesce(told, F.lit(False)).alias("hit"))
-    places = edits.select("session_id", "file_path", "lo", "hi").distinct()
-    touched = F.when(F.col("bonus_type") == "test", F.lit(True)).otherwise(overlap(F.col("line_lo"), F.col("line_hi"), F.col("lo"), F.col("hi")))
-    by_file = bonuses.where(F.col("bonus_type").isin("quality_issue", "test")).join(places, ["session_id", "file_path"]).where(touched).select(*key, F.lit(True).alias("hit"))
+    by_edit = bonuses.where("bonus_type = 'test'").join(edits.select("session_id", "file_path").distinct(), ["session_id", "file_path"], "left_semi").select(*key)
+    lines = bonuses.where("bonus_type = 'quality_issue'").select(F.struct(*key).alias("b"), "session_id", "file_path", F.col("line_lo").alias("lo"), F.col("line_hi").alias("hi"))
+    by_lines = touched(lines, edits, ["session_id", "file_path"], "b").select("b.*")
+    by_file = by_edit.unionByName(by_lines).withColumn("hit", F.lit(True))
     asked = bonuses.where("bonus_type = 'convention'").select(*key, F.lower("keyword").alias("word"))
-    texts = edits.select("session_id", F.lower("content").alias("content")).distinct()
-    used = asked.select("session_id", "word").distinct().join(texts, "session_id").where(F.contains("content", F.col("word"))).select("session_id", "word").distinct()
+    texts = edits.select("session_id", F.lower("content").alias("text")).distinct()
+    used = containing(texts, asked, ident="session_id").distinct()
     by_word = asked.join(used, ["session_id", "word"], "left_semi").select(*key, F.lit(True).alias("hit"))
     found = by_call.unionByName(by_file).unionByName(by_word).groupBy(*key).agg(F.bool_or("hit").alias("hit"))
     signal, boost = F.lit("ignored"), F.lit(dims.FEEDBACK_DECAY)
@@ -79,9 +83,8 @@ def covering_tests(coverage: DataFrame, changed: DataFrame) -> DataFrame:
 
     A row a test: how many changed files it runs, and those in order.
     """
-    c = changed.select("file_path", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
-    ran = coverage.select("test_path", "file_path", "lo", "hi").distinct().join(c, "file_path").where(overlap(F.col("lo"), F.col("hi"), F.col("_lo"), F.col("_hi")))
-    pairs = ran.select("test_path", "file_path").distinct()
+    ran = coverage.select(F.struct("test_path", "file_path").alias("t"), "file_path", "lo", "hi").distinct()
+    pairs = touched(ran, changed, ["file_path"], "t").select("t.*")
     return pairs.groupBy("test_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("files"))
 
 

@@ -146,9 +146,10 @@ def repo_map(entities: DataFrame, relations: DataFrame, recent: DataFrame, budge
 def fit_to_budget(rows: DataFrame, tokens: str, order: list, budget: int) -> DataFrame:
     """The longest prefix whose tokens fit; the first overshoot ends it.
 
-    Every row costs at least one token, so the prefix has at most ``budget`` rows and only
-    those are numbered.
+    A row that costs a token or more uses up the budget, so the prefix has at most
+    ``budget`` of them besides those that cost nothing, which are counted; only so many are numbered.
     """
-    top = rows.orderBy(*order).limit(budget + 1)
+    free = rows.where(F.col(tokens) <= 0).count()
+    top = rows.orderBy(*order).limit(budget + 1 + free)
     running = F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumn("running", running).where(F.col("running") <= budget)

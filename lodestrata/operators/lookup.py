@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.paths import normalise
 from lodestrata.functions.text import ascii_lower, like_ascii, parent_module
+from lodestrata.operators.sweep import stabbed, touched
+from lodestrata.session import stored
+
+#: Rows of a counted table that are sent to every task.
+SENT_ROWS = 50_000
 
 
 def _newest() -> list[Column]:
@@ -77,25 +82,28 @@ def entity_as_of(history: DataFrame, key_col: str, key, at) -> DataFrame:
     return history.where((F.col(key_col) == key) & valid_at(F.lit(at))).orderBy(F.desc("t_valid_from"), F.desc("id")).limit(1)
 
 
-def as_of_join(probes: DataFrame, history: DataFrame, key: str, at: str = "at") -> DataFrame:
-    """For each probe the version valid at its time, or nulls.
+def _ticks(df: DataFrame, column: str) -> Column:
+    """A time as a number: microseconds, days of a date, or itself."""
+    kind = df.schema[column].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.unix_date(column) if kind == "date" else F.col(column).cast("bigint")
 
-    Versions and probes of a key are sorted together and the last version carried forward,
-    so the cost is one sort a key and no range join; the validity end is checked after.
-    Versions of a key don't overlap in start; ties go to the larger id.
-    """
-    cols = [c for c in history.columns if c != key]
-    versions = history.where("t_valid_from IS NOT NULL").select(key, F.col("t_valid_from").alias("_at"), F.lit(0).alias("_p"), F.col("id").alias("_tie"), F.struct(*cols).alias("_v"), F.lit(None).cast(_struct_type(probes)).alias("_probe"))
-    asked = probes.select(key, F.col(at).alias("_at"), F.lit(1).alias("_p"), F.lit(0).cast("bigint").alias("_tie"), F.lit(None).cast(versions.schema["_v"].dataType).alias("_v"), F.struct(*probes.columns).alias("_probe"))
-    w = Window.partitionBy(key).orderBy("_at", "_p", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = versions.unionByName(asked).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_p = 1")
-    open_ = F.col("_last.t_valid_to").isNull() | (F.col("_last.t_valid_to") > F.col("_at"))
-    both = both.withColumn("_hit", F.when(open_, F.col("_last")))
-    return both.select("_probe.*", *[F.col(f"_hit.{c}").alias(c) for c in cols if c not in probes.columns])
 
+def as_of_join(probes: DataFrame, history: DataFrame, key: str, at: str = "at") -> DataFrame:
+    """For each probe the version of ``history(key, id, t_valid_from, t_valid_to, ...)`` valid at its time, or nulls.
 
-def _struct_type(df: DataFrame):
-    return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
+    As ``entity_as_of`` for many: versions may nest and overlap, the last to start wins,
+    then the larger id; ids are unique. Versions and probes are swept together in one
+    range sort, so there is no range join and a key's rows may lie in many partitions.
+    """
+    cols = [c for c in history.columns if c not in probes.columns]
+    asked = stored(probes.withColumn("_probe", F.monotonically_increasing_id()), "probes")
+    versions = history.select(F.col(key).alias("key"), _ticks(history, "t_valid_from").alias("since"), _ticks(history, "t_valid_to").alias("until"), F.col("id").cast("bigint").alias("version"))
+    hits = stabbed(asked.select(F.col(key).alias("key"), _ticks(probes, at).alias("at"), F.col("_probe").alias("probe")), versions)
+    hits = hits.select(F.col("probe").alias("_probe"), F.col("version").alias("_version"))
+    found = history.select(F.col("id").cast("bigint").alias("_version"), *cols)
+    return asked.join(hits, "_probe", "left").join(found, "_version", "left").select(*probes.columns, *cols)
 
 
 def relations_by(relations: DataFrame, end: str, key: int) -> DataFrame:
@@ -112,7 +120,8 @@ def callers(entities: DataFrame, relations: DataFrame, targets: DataFrame) -> Da
 def edges_of(entities: DataFrame, relations: DataFrame, ids: DataFrame, cap: int = 50) -> DataFrame:
     """Edges out of and into ``ids(id)`` with their peers, at most ``cap`` a node and direction, by kind and peer name.
 
-    ``total`` counts a node's edges in that direction before the cap.
+    ``total`` counts a node's edges in that direction before the cap; it is an aggregation
+    of its own, so that a hub's edges are cut to ``cap`` before they are shuffled.
     """
     peer = entities.select(F.col("id").alias("peer_id"), F.coalesce("qualified_name", "name").alias("peer"))
     sides = []
@@ -120,8 +129,10 @@ def edges_of(entities: DataFrame, relations: DataFrame, ids: DataFrame, cap: int
         own = relations.join(ids.select(F.col("id").alias(mine)).distinct(), mine, "left_semi")
         sides.append(own.select(F.col(mine).alias("id"), F.col(other).alias("peer_id"), F.col("id").alias("edge_id"), "kind", F.lit(direction).alias("direction")))
     both = sides[0].unionByName(sides[1]).join(peer, "peer_id")
-    per = Window.partitionBy("id", "direction")
-    return both.withColumn("total", F.count("*").over(per)).withColumn("n", F.row_number().over(per.orderBy("kind", "peer", "edge_id"))).where(F.col("n") <= cap)
+    totals = both.groupBy("id", "direction").agg(F.count("*").alias("total"))
+    per = Window.partitionBy("id", "direction").orderBy("kind", "peer", "edge_id")
+    top = both.withColumn("n", F.row_number().over(per)).where(F.col("n") <= cap)
+    return top.join(totals, ["id", "direction"])
 
 
 def match_stored(symbols: DataFrame, stored: DataFrame) -> DataFrame:
@@ -138,9 +149,8 @@ def session_dedup(candidates: DataFrame, in_context: DataFrame) -> DataFrame:
 
 def edit_overlap(bonuses: DataFrame, edits: DataFrame) -> DataFrame:
     """Bonuses with a flag: some edit of the same file touches their lines."""
-    b = bonuses.alias("b")
-    hit = (F.col("b.file_path") == F.col("e.file_path")) & (F.greatest("b.line_lo", "e.lo") <= F.least("b.line_hi", "e.hi"))
-    found = b.join(edits.alias("e"), hit, "left_semi").select("bonus_id").withColumn("_hit", F.lit(True)).distinct()
+    asked = bonuses.select("bonus_id", "file_path", F.col("line_lo").alias("lo"), F.col("line_hi").alias("hi"))
+    found = touched(asked, edits, ["file_path"], "bonus_id").withColumn("_hit", F.lit(True))
     return bonuses.join(found, "bonus_id", "left").withColumn("touched", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
@@ -155,7 +165,8 @@ def merge_search(symbols: DataFrame, texts: DataFrame, cap: int) -> DataFrame:
     firsts = rows.groupBy("file", "line").agg(F.min(F.struct("_side", "pos")).alias("at"))
     top = firsts.orderBy("at", "file", "line").limit(cap)
     full = top.agg(F.count("*").alias("n"), F.max("at").alias("last")).first()
-    kept = rows.join(F.broadcast(top.select("file", "line")), ["file", "line"])
+    places = top.select("file", "line")
+    kept = rows.join(F.broadcast(places) if full["n"] <= SENT_ROWS else places, ["file", "line"])
     if full["n"] >= cap:  # the cap is reached: later text hits change nothing
         kept = kept.where(F.struct("_side", "pos") <= F.struct(F.lit(full["last"]["_side"]).alias("_side"), F.lit(full["last"]["pos"]).alias("pos")))
     out = kept.groupBy("file", "line").agg(

@@ -35,14 +35,19 @@ def check_dimension(n: int) -> int:
 
 
 def find_similar(chunks: DataFrame, query: list[float], k: int = 10, vector: str = "embedding", key: str = "id") -> DataFrame:
-    """The ``k`` (1 to 100) nearest chunks by squared distance, ties by key, with ``similarity = 1 / (1 + distance)``."""
+    """The ``k`` (1 to 100) nearest chunks by squared distance, ties by key, with ``similarity = 1 / (1 + distance)``.
+
+    One scan, made at once: a vector of another length would come out first. Null vectors are no neighbours.
+    """
     k = min(100, max(1, k))
-    wrong = chunks.where(F.size(vector) != len(query)).limit(1)
-    if not wrong.isEmpty():
-        raise VectorError("dim_mismatch", f"the query has {len(query)} components")
     at = F.array(*[F.lit(float(x)) for x in query])
-    near = chunks.withColumn("distance", squared_distance(F.col(vector), at)).orderBy("distance", key).limit(k)
-    return near.withColumn("similarity", 1 / (1 + F.col("distance")))
+    wrong = F.size(vector) != len(query)
+    near = chunks.where(F.col(vector).isNotNull()).withColumn("distance", F.when(~wrong, squared_distance(F.col(vector), at)))
+    near = near.withColumn("similarity", 1 / (1 + F.col("distance"))).withColumn("_wrong", wrong)
+    rows = near.orderBy(F.desc("_wrong"), "distance", key).limit(k).collect()  # at most 100
+    if rows and rows[0]["_wrong"]:
+        raise VectorError("dim_mismatch", f"the query has {len(query)} components")
+    return chunks.sparkSession.createDataFrame(rows, near.schema).drop("_wrong")
 
 
 def knn_join(queries: DataFrame, chunks: DataFrame, k: int = 10, vector: str = "embedding", key: str = "id", shard_bytes: int = 64 << 20, at_once: int = 256) -> DataFrame:

@@ -62,7 +62,8 @@ SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'clas
 SELECT o_orderkey AS id, o_custkey AS source_id, (o_orderkey * 7 + 3) % 2500 AS target_id, CASE o_orderkey % 3 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' ELSE 'inherits' END AS kind,
   0.5 + CAST(o_orderkey % 5 AS DOUBLE) / 10 AS weight FROM {orders}""",
     "history": """
-SELECT o_orderkey AS id, o_custkey AS customer, o_orderpriority AS priority, o_orderdate AS t_valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t_valid_to FROM {orders}""",
+SELECT o_orderkey AS id, o_custkey AS customer, o_orderpriority AS priority, o_orderdate AS t_valid_from,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN lead(o_orderdate, 3) OVER v ELSE lead(o_orderdate) OVER v END AS t_valid_to FROM {orders} WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
     "probes": "SELECT c_custkey AS customer, TIMESTAMP_NTZ '1995-06-15 00:00:00' AS at FROM {customer}",
     "symbols": "SELECT DISTINCT p_brand AS symbol FROM {part}",
     "reasons": """

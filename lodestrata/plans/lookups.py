@@ -41,8 +41,8 @@ both("S06_load_occurrences", s06, f"""SELECT symbol, string_split(symbol, '#')[1
   CAST(CASE n WHEN 4 THEN greatest(b, 0) + 1 WHEN 3 THEN greatest(a, 0) + 1 ELSE 0 END AS INT) AS end_line, concat_ws(',', {_ROLES}) AS role FROM occurrences""", "occurrences")
 
 both("F01_entity_by_id", lambda t: lookup.entity_by_id(t.entities, 17).select(*_COLS), f"SELECT {_E} FROM entities WHERE id = 17", "entities")
-both("F02_entity_by_qualified_name", lambda t: lookup.entity_by_qualified_name(t.entities, "PROMO STEEL::Brand#1217").select(*_COLS),
-     f"SELECT {_E} FROM entities WHERE qualified_name = 'PROMO STEEL::Brand#1217' ORDER BY t_ingested_at DESC, id DESC LIMIT 1", "entities")
+both("F02_entity_by_qualified_name", lambda t: lookup.entity_by_qualified_name(t.entities, t.entities.agg(F.min("qualified_name")).first()[0]).select(*_COLS),
+     f"SELECT {_E} FROM entities WHERE qualified_name = (SELECT min(qualified_name) FROM entities) ORDER BY t_ingested_at DESC, id DESC LIMIT 1", "entities")
 both("F02_latest_versions", lambda t: lookup.latest_versions(t.entities, "qualified_name").select(*_COLS),
      f"SELECT {_E} FROM entities QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY t_ingested_at DESC, id DESC) = 1", "entities")
 
@@ -62,8 +62,15 @@ QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t_ingested_at DESC, id D
 both("F05_resolve_symbol", lambda t: lookup.resolve_symbol(t.entities, "Brand#23").select(*_COLS, "parent_module"),
      f"SELECT {_E}, {_PARENT} FROM entities WHERE name = 'Brand#23' OR lower(qualified_name) LIKE '%::brand#23' ORDER BY t_ingested_at DESC, id DESC LIMIT 1", "entities")
 _H = "id, priority, t_valid_from, t_valid_to"
-both("F06_entity_as_of", lambda t: lookup.entity_as_of(t.history, "customer", 7, __import__("datetime").datetime(1996, 1, 1)).select(*_H.split(", ")),
-     f"SELECT {_H} FROM history WHERE customer = 7 AND t_valid_from <= TIMESTAMP '1996-01-01' AND (t_valid_to IS NULL OR t_valid_to > TIMESTAMP '1996-01-01') ORDER BY t_valid_from DESC, id DESC LIMIT 1", "history")
+
+
+def f06(t):
+    first = t.history.orderBy("id").first()
+    return lookup.entity_as_of(t.history, "customer", first["customer"], first["t_valid_from"]).select(*_H.split(", "))
+
+
+both("F06_entity_as_of", f06, f""", f AS (SELECT customer, t_valid_from AS moment FROM history ORDER BY id LIMIT 1)
+SELECT {_H} FROM history JOIN f USING (customer) WHERE t_valid_from <= moment AND (t_valid_to IS NULL OR t_valid_to > moment) ORDER BY t_valid_from DESC, id DESC LIMIT 1""", "history")
 both("J05_as_of_join", lambda t: lookup.as_of_join(t.probes, t.history, "customer"),
      f"""SELECT p.customer, p.at, h.id, h.priority, h.t_valid_from, h.t_valid_to FROM probes p LEFT JOIN (SELECT p.customer, h.id, h.priority, h.t_valid_from, h.t_valid_to FROM probes p JOIN history h ON h.customer = p.customer
 AND h.t_valid_from <= p.at AND (h.t_valid_to IS NULL OR h.t_valid_to > p.at) QUALIFY row_number() OVER (PARTITION BY p.customer ORDER BY h.t_valid_from DESC, h.id DESC) = 1) h ON h.customer = p.customer""", "probes", "history")
@@ -122,7 +129,8 @@ def j11(t):
 
 both("J11_call_hierarchy", j11, """, p AS (SELECT DISTINCT symbol AS root, file_path || '::p' || CAST(role % 3 AS STRING) || '@' || CAST(b AS STRING) AS key FROM occurrences)
 SELECT CASE WHEN starts_with(root, 'click') THEN key ELSE root END AS source, CASE WHEN starts_with(root, 'click') THEN root ELSE key END AS target, CASE WHEN starts_with(root, 'click') OR starts_with(root, 'view') THEN 'calls' ELSE 'inherits' END AS kind FROM p""", "occurrences")
-both("J13_file_entities", lambda t: lookup.file_entities(t.entities, "src/PROMO STEEL.rs", "src/ECONOMY BRASS.rs").select(*_COLS), f"SELECT {_E} FROM entities WHERE file_path IN ('src/PROMO STEEL.rs', 'src/ECONOMY BRASS.rs')", "entities")
+both("J13_file_entities", lambda t: lookup.file_entities(t.entities, *t.entities.agg(F.min("file_path"), F.max("file_path")).first()).select(*_COLS),
+     f"SELECT {_E} FROM entities WHERE file_path IN ((SELECT min(file_path) FROM entities), (SELECT max(file_path) FROM entities))", "entities")
 
 
 def d01(t):
@@ -165,16 +173,18 @@ WHEN regexp_matches(lower(path), '\\.rs$') THEN 'rust' WHEN regexp_matches(lower
 
 
 def s16(t):
-    body = F.concat(F.lit("File: src/"), "event_type", F.lit(".rs\n  12 let a\nnoise\n 40 call()\n</result>\n7 stray\nFile: b/"), F.col("user_id").cast("string"), F.lit("\n 9 x\n"))
-    return files.probe_hits(t.events.select(F.col("event_id").alias("id"), body.alias("content")), 2)
+    rows = F.array_sort(F.collect_list(F.struct("line_no", F.concat(F.lit("  "), F.col("line_no").cast("string"), F.lit(" "), "line").alias("row"))))["row"]
+    body = t.lines.groupBy("doc_id").agg(F.array_join(rows, "\nnoise\n").alias("rows"))
+    body = body.select(F.col("doc_id").alias("id"), F.concat(F.lit("7 stray\nFile: src/"), F.col("doc_id").cast("string"), F.lit(".rs\n"), "rows", F.lit("\n</result>\n8 stray\n")).alias("content"))
+    return files.probe_hits(body, 1_000_000)
 
 
-both("S16_probe_hits", s16, """SELECT event_id AS id, 'src/' || event_type || '.rs' AS file_path, 12 AS line, 'let a' AS snippet FROM events UNION ALL SELECT event_id, 'src/' || event_type || '.rs', 40, 'call()' FROM events""")
+both("S16_probe_hits", s16, "SELECT doc_id AS id, 'src/' || doc_id || '.rs' AS file_path, line_no AS line, line AS snippet FROM lines", "lines")
 
 
 def s15(t):
-    body = F.concat(F.lit("worktree /w/"), "event_type", F.lit("\nHEAD abc\nbranch refs/heads/b"), F.col("user_id").cast("string"), F.lit("\n\nworktree /d\nHEAD def\ndetached\n"))
-    return files.worktrees(t.events.select(F.col("event_id").alias("id"), body.alias("content")))
+    body = F.concat(F.lit("worktree /w/"), "source", F.lit("\nHEAD "), F.md5("text"), F.lit("\nbranch refs/heads/"), "lang", F.lit("\n\nworktree /d\nHEAD "), F.sha2("text", 256), F.lit("\ndetached\n"))
+    return files.worktrees(t.documents.select(F.col("doc_id").alias("id"), body.alias("content")))
 
 
-both("S15_worktrees", s15, "SELECT event_id AS id, '/w/' || event_type AS path, 'b' || CAST(user_id AS STRING) AS branch, 'abc' AS sha FROM events UNION ALL SELECT event_id, '/d', NULL, 'def' FROM events")
+both("S15_worktrees", s15, "SELECT doc_id AS id, '/w/' || source AS path, lang AS branch, md5(text) AS sha FROM documents UNION ALL SELECT doc_id, '/d', NULL, sha256(text) FROM documents")
