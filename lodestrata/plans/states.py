@@ -16,12 +16,6 @@ def both(name: str, spark, sql: str, *inputs: str) -> None:
     ORACLE[name] = (duck(*inputs) if inputs else "") + sql
 
 
-def _observations(t):
-    return t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"), F.concat_ws("/", "source", "lang").alias("related_symbol"), F.col("doc_id").alias("created_at"))
-
-
-QUERIES["A12_cluster_observations"] = lambda t: jobs.cluster_observations(_observations(t)).select("id", "related_symbol", "leader")
-QUERIES["A13_promote_observations"] = lambda t: jobs.promote_observations(jobs.cluster_observations(_observations(t))).withColumn("summary", F.md5("summary"))
 both("A14_promote_conventions", lambda t: jobs.promote_conventions(t.hot_signals),
      "SELECT pattern_hash, count(*) AS n, arg_min(pattern, id) AS pattern, 'Pattern observed in ' || CAST(count(*) AS STRING) || ' files' AS description FROM hot_signals GROUP BY pattern_hash HAVING count(*) >= 3", "hot_signals")
 both("A15_promote_architecture", lambda t: jobs.promote_architecture(t.hot_deltas),

@@ -5,12 +5,17 @@ Promotion writes one folder per batch id, so a batch that runs twice replaces it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestrata.functions.text import words
+from lodestrata.operators.graph import numbered
+from lodestrata.operators.greedy import first_leaders
+from lodestrata.session import stored
+
 
 def event_kind(kind: Column) -> Column:
     """Raw notifications to created, modified, removed, renamed or other; a rename is a special modification."""
@@ -43,39 +48,25 @@ def index_candidates(events: DataFrame) -> DataFrame:
 
 
 def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """``(id, raw_text, related_symbol, created_at)`` with a cluster leader's id.
+    """``(id, raw_text, related_symbol, created_at)`` with ``leader``, the id of a cluster's leader.
 
-    In id order a row joins the first cluster of its symbol (null equals null) whose
-    leader's word set is similar enough, else it leads a new one. The order matters, so a
-    symbol's rows are taken in turn; leaders are found through a tenth of their words,
-    the longest, which few rows share, so rows are not compared with every leader.
+    In id order (nulls first, then by text) a row joins the first cluster of its symbol
+    (null equals null) whose leader's word set is similar enough, else it leads a new one.
+    Rows of a symbol with equal sets share their first row's fate, so they are folded
+    first; the rest is decided in rounds (``first_leaders``), not a symbol a task. Every
+    row is kept, whatever its id.
     """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        now, leaders, index = object(), [], {}
-        for b in batches:
-            out = []
-            for key, i, text in zip(b.column("k").to_pylist(), b.column("id").to_pylist(), b.column("raw_text").to_pylist(), strict=True):
-                if key != now:
-                    now, leaders, index = key, [], {}
-                words = frozenset((text or "").split())
-                near = sorted({c for w in words for c in index.get(w, ())})
-                found = next((c for c in near if len(words & leaders[c][1]) >= threshold * len(words | leaders[c][1])), None)
-                if found is None:
-                    found = len(leaders)
-                    leaders.append((i, words))
-                    # two sets this similar share a word among any (1 - threshold) share of the leader's words, plus one
-                    for w in sorted(words, key=lambda w: (-len(w), w))[: int((1 - threshold) * len(words) + 1e-9) + 1]:
-                        index.setdefault(w, []).append(found)
-                out.append(leaders[found][0])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.int64())], names=["id", "leader"])
-
-    key = F.coalesce(F.concat(F.lit("s"), F.col("related_symbol")), F.lit("n"))
-    rows = rows.withColumn("k", key)
-    dealt = rows.select("k", F.col("id").cast("bigint"), "raw_text").repartition("k").sortWithinPartitions("k", "id")
-    return rows.drop("k").join(dealt.mapInArrow(run, "id bigint, leader bigint"), "id")
+    group = F.coalesce(F.concat(F.lit("s"), F.col("related_symbol")), F.lit("n"))
+    held = F.array_sort(F.array_distinct(F.coalesce(words(F.col("raw_text")), F.array().cast("array<string>"))))
+    marked = rows.withColumn("_group", group).withColumn("_words", held)
+    placed = numbered(marked, ["_group", "id", "raw_text"], "_place")
+    placed = stored(placed.withColumn("_a", F.xxhash64("_words")).withColumn("_b", F.xxhash64(F.lit(7), "_words")), "observations")
+    key = ["_group", "_a", "_b"]
+    folded = stored(placed.groupBy(*key).agg(F.min("_place").alias("place"), F.first("_words").alias("words")), "folded")
+    led = first_leaders(folded.select(F.col("_group").alias("group"), "place", "words"), threshold)
+    names = placed.select(F.col("_place").alias("leader"), F.col("id").cast("bigint").alias("_id"))
+    named = folded.select(*key, "place").join(led, "place").join(names, "leader").select(*key, F.col("_id").alias("leader"))
+    return placed.join(named, key).select(*rows.columns, "leader")
 
 
 def promote_observations(clustered: DataFrame) -> DataFrame:
@@ -183,3 +174,103 @@ def reapable(last_used: Column, now: Column, grace: int) -> Column:
 def recent_paths(touched: DataFrame, n: int) -> DataFrame:
     """The ``n`` paths asked for last, one row each."""
     return touched.groupBy("path").agg(F.max("at").alias("at")).orderBy(F.desc("at"), "path").limit(n)
+
+
+def live_sessions(calls: DataFrame, ttl: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """A stream of ``calls(session_id, at, file)`` to a row per session and change: created_at, last_at, calls, files, expires_at, expired.
+
+    A session ends ``ttl`` after its first call, however busy it is; a timer on event time
+    then gives its last row, ``expired``, and drops its state. A later call of the same id
+    begins a session anew. Calls behind the watermark are left out. Needs the RocksDB state
+    store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    span = _milliseconds(ttl)
+
+    class Sessions(StatefulProcessor):
+        """The sums as one value, the files as a map's keys, so that a call costs no rewrite of its session's files."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.sums = handle.getValueState("sums", "created bigint, last bigint, calls bigint")
+            self.files = handle.getMapState("files", "file string", "n bigint")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            import pandas as pd
+
+            now = timerValues.getCurrentWatermarkInMs()
+            parts = list(rows)
+            at = pd.concat([p["at"] for p in parts]).astype("int64") // 1000 if parts else []
+            held = self.sums.get() if self.sums.exists() else None
+            created, last, n = held if held else (None, None, 0)
+            first = min(at) if created is None else min(created, min(at))
+            if created is not None and first != created:
+                self.handle.deleteTimer(created // 1000 + span)
+            if first != created:
+                self.handle.registerTimer(max(first // 1000 + span, now + 1))
+            for p in parts:
+                for f in p["file"].dropna().unique():
+                    self.files.updateValue((f,), (1,))
+            sums = (int(first), int(max(at) if last is None else max(last, max(at))), int(n + len(at)))
+            self.sums.update(sums)
+            yield self.row(key[0], sums, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            if self.sums.exists():
+                yield self.row(key[0], self.sums.get(), True)
+            self.sums.clear()
+            self.files.clear()
+
+        def row(self, session, sums, expired):
+            import pandas as pd
+
+            files = ",".join(sorted(f[0] for f in self.files.keys())) if self.files.exists() else ""
+            return pd.DataFrame({"session_id": [session], "created_us": [sums[0]], "last_us": [sums[1]], "calls": [sums[2]], "files": [files], "expires_us": [sums[0] + span * 1000], "expired": [expired]})
+
+        def close(self) -> None:
+            pass
+
+    told = calls.select("session_id", F.col("at").cast("timestamp").alias("at"), "file").withWatermark("at", late)
+    out = told.groupBy("session_id").transformWithStateInPandas(Sessions(), "session_id string, created_us bigint, last_us bigint, calls bigint, files string, expires_us bigint, expired boolean", "Update", "EventTime")
+    time = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_at")
+    return out.select("session_id", time("created"), time("last"), "calls", "files", time("expires"), "expired")
+
+
+def _milliseconds(span: str) -> int:
+    """The length of a span such as '30 minutes'."""
+    number, unit = span.split()
+    return int(float(number) * {"millisecond": 1, "second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
+
+def promote_unpromoted(hot: DataFrame, promoted: DataFrame, promote: Callable[[DataFrame], DataFrame], batch: int = 256) -> tuple[DataFrame, DataFrame]:
+    """One promotion: the ``batch`` oldest of ``hot`` whose ids ``promoted(id)`` doesn't hold, promoted, and their ids to be marked with them."""
+    taken = stored(hot.join(promoted.select("id"), "id", "left_anti").orderBy("id").limit(batch), "promoting")
+    return promote(taken), taken.select("id")
+
+
+def promotion_loop(hot: DataFrame, folder: str, promote: Callable[[DataFrame], DataFrame], batch: int = 256) -> int:
+    """Promotes all of ``hot`` into ``folder/warm`` batch by batch, marking rows in ``folder/marks``; the number of batches of this run.
+
+    A batch's rows and marks carry its number; a batch counts once its marks are written,
+    which is after its rows, and one that died in between writes the same rows again.
+    """
+    spark, number = hot.sparkSession, 0
+    marks = f"{folder}/marks"
+    done = _read_or_empty(spark, marks)
+    begin = done.agg(F.max("batch")).first()[0] if "batch" in done.columns else None
+    begin = -1 if begin is None else begin
+    while True:
+        warm, ids = promote_unpromoted(hot, _read_or_empty(spark, marks), promote, batch)
+        if ids.isEmpty():
+            return number
+        begin, number = begin + 1, number + 1
+        warm.write.mode("overwrite").parquet(f"{folder}/warm/batch={begin}")
+        ids.write.mode("overwrite").parquet(f"{marks}/batch={begin}")
+
+
+def _read_or_empty(spark, folder: str) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.parquet(folder)
+    return spark.createDataFrame([], "id bigint")
