@@ -49,12 +49,20 @@ ORACLE["tool_check_quality_tests"] = merging.ORACLE["A09_merge_tests"]
 both("tool_type_check_rows", lambda t: tools.type_check({"diagnostics": t.diagnostics}).select("id", "severity", "source", "code"),
      "SELECT id, severity, source, code FROM diagnostics WHERE severity = 1 AND (coalesce(source IN ('rust-analyzer', 'pyright', 'tsserver', 'typescript', 'mypy'), false) OR coalesce(regexp_matches(code, '^(E|TS2|TS7|report)'), false))", "diagnostics")
 both("tool_get_conventions", lambda t: tools.get_conventions({"conventions": t.hot_signals.withColumnRenamed("pattern", "category")}, "p:click"), "SELECT id, pattern_hash, pattern AS category FROM hot_signals WHERE pattern = 'p:click'", "hot_signals")
-_NAMED = "(SELECT id FROM entities WHERE qualified_name = 'PROMO STEEL::Brand#1217' ORDER BY t_ingested_at DESC, id DESC LIMIT 1)"
+
+
+def named(t):
+    """The name of an entity that has edges: of the newest of each name, the target of the first relation."""
+    newest = lookup.latest_versions(t.entities, "qualified_name").select(F.col("id").alias("target_id"), "qualified_name")
+    return t.relations.join(newest, "target_id").orderBy("id").first()["qualified_name"]
+
+
+_NAMED = """(SELECT e.id FROM (SELECT * FROM entities QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY t_ingested_at DESC, id DESC) = 1) e JOIN relations r ON r.target_id = e.id ORDER BY r.id LIMIT 1)"""
 _SIDES = f""", s AS (SELECT source_id AS id, target_id AS peer_id, id AS edge_id, kind, 'out' AS direction FROM relations UNION ALL SELECT target_id, source_id, id, kind, 'in' FROM relations),
 x AS (SELECT s.peer_id, s.id, s.edge_id, s.kind, s.direction, coalesce(p.qualified_name, p.name) AS peer FROM s JOIN entities p ON p.id = s.peer_id WHERE s.id = {_NAMED})"""
-both("P10_explain_symbol", lambda t: index.explain_symbol(t.entities, t.relations, "PROMO STEEL::Brand#1217")[0].select("id", "kind", "qualified_name", "file_path", "start_line", "inbound_relation_count", "outbound_relation_count"),
+both("P10_explain_symbol", lambda t: index.explain_symbol(t.entities, t.relations, named(t))[0].select("id", "kind", "qualified_name", "file_path", "start_line", "inbound_relation_count", "outbound_relation_count"),
      f"{_SIDES} SELECT id, kind, qualified_name, file_path, start_line, (SELECT count(*) FROM x WHERE direction = 'in') AS inbound_relation_count, (SELECT count(*) FROM x WHERE direction = 'out') AS outbound_relation_count FROM entities WHERE id = {_NAMED}", "entities", "relations")
-both("P10_symbol_edges", lambda t: index.explain_symbol(t.entities, t.relations, "PROMO STEEL::Brand#1217", 3)[1],
+both("P10_symbol_edges", lambda t: index.explain_symbol(t.entities, t.relations, named(t), 3)[1],
      f"{_SIDES} SELECT *, CAST(row_number() OVER (PARTITION BY direction ORDER BY kind, peer, edge_id) AS INT) AS rank FROM x QUALIFY rank <= 3", "entities", "relations")
 _TOP = f"e AS (SELECT * FROM ({_A06}) ORDER BY coupling DESC, source, target, pos LIMIT 1024)"
 ORACLE["tool_trace_dependencies"] = duck("edges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""", {_TOP}, s AS (SELECT min(target) AS node FROM edges),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import compositions, details, lookups, merging, states, texts, traversals
+from lodestrata.plans import compositions, details, keeping, lookups, merging, searches, states, texts, traversals
 from lodestrata.plans.fixtures import Tables
 
-_MODULES = (merging, lookups, texts, traversals, states, compositions, details)
+_MODULES = (merging, lookups, texts, traversals, states, compositions, details, searches, keeping)
 
 
 def _bound(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

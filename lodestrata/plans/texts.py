@@ -99,8 +99,8 @@ both("T32_symbol_count", lambda t: t.documents.select("doc_id", F.size(text.word
      "SELECT doc_id, CAST(n AS INT) AS n, CAST(2 * n AS INT) AS dependent FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)")
 both("T34_edge_kind", lambda t: t.events.select("event_id", text.edge_kind(F.when(c("event_id") % 2 == 0, F.concat(F.lit("other:"), "event_type")).otherwise(c("event_type"))).alias("kind")),
      "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Other(' || event_type || ')' ELSE upper(event_type[1]) || event_type[2:] END AS kind FROM events")
-both("A19_import_count", lambda t: t.lines.groupBy("doc_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("import a"), F.substring("line", 1, 0))))).alias("code")).select("doc_id", text.import_count(c("code"), F.lit("python")).alias("imports")),
-     "SELECT doc_id, CAST(count(*) AS INT) AS imports FROM lines GROUP BY ALL", "lines")
+both("A19_import_count", lambda t: t.lines.groupBy("doc_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.when(F.rlike("line", F.lit("^[A-M]")), F.lit("import ")).otherwise(F.lit("")), "line")))).alias("code")).select("doc_id", text.import_count(c("code"), F.lit("python")).alias("imports")),
+     r"SELECT doc_id, CAST(count(*) FILTER (regexp_matches(line, '^[A-M]') OR regexp_matches(line, '^[ \t]*(import|from)[ \t]+[0-9A-Za-z_.]')) AS INT) AS imports FROM lines GROUP BY ALL", "lines")
 both("F19_decision_title", lambda t: t.hot_decisions.select("id", text.decision_title(c("title"), c("description")).alias("title")), "SELECT id, coalesce(nullif(title, ''), left(description, 80), '') AS title FROM hot_decisions", "hot_decisions")
 both("F11_threshold", lambda t: context.above_threshold(t.session_hits, 0.1), "SELECT * FROM session_hits WHERE score >= 0.1", "session_hits")
 _A18 = """, f AS (SELECT *, length(coalesce(snippet, '')) // 4 + length(file_path) // 4 + 8 AS tokens FROM session_hits WHERE (session_id, file_path) NOT IN (SELECT session_id, file_path FROM session_files)),

@@ -31,3 +31,4 @@ def assert_same(df, con, sql):
     a, b = _rows(df.columns, df.collect()), _rows(names, want.fetchall())
     assert len(a) == len(b)
     assert a == b
+    return len(a)

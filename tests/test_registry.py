@@ -18,7 +18,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
-    assert_same(QUERIES[name](spark, DATA), con, ORACLE[name])
+    assert assert_same(QUERIES[name](spark, DATA), con, ORACLE[name]) > 0  # an empty answer would show nothing
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
