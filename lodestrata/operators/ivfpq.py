@@ -157,7 +157,7 @@ def _coded(batches: Iterator, centres, books) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column("id"), pa.array([c.tobytes() for c in code], pa.binary())], names=["cell", "id", "code"])
 
 
-def search(index: IvfPq, queries: DataFrame, k: int = 10, probe: float = 0.4, again: int = 20) -> DataFrame:
+def search(index: IvfPq, queries: DataFrame, k: int = 10, probe: float = 0.55, again: int = 10) -> DataFrame:
     """For each ``queries(query_id, v)`` the ``k`` nearest vectors found: query_id, id, distance, rank.
 
     The nearest cells that hold a share ``probe`` of all vectors are read; ``again`` times

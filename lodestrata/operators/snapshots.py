@@ -168,6 +168,33 @@ def appended(log: DataFrame, new: DataFrame) -> DataFrame:
     return log.unionByName(added.select(*log.columns))
 
 
+def upsert_relations(current: DataFrame, incoming: DataFrame, now) -> DataFrame:
+    """Relations ``(id, source_id, target_id, kind, weight, t_last_verified)``, one a (source, target, kind).
+
+    A known edge keeps its id and takes the greatest incoming weight and the time; of new
+    rows with one key the first by id enters with that weight. A null end or kind never
+    matches, so such rows are appended.
+    """
+    key = ["source_id", "target_id", "kind"]
+    whole = F.col("source_id").isNotNull() & F.col("target_id").isNotNull() & F.col("kind").isNotNull()
+    keyed, bare = incoming.where(whole), incoming.where(~whole)
+    new = keyed.groupBy(*key).agg(F.min("id").alias("_id"), F.max("weight").alias("_weight"), F.lit(True).alias("_new"))
+    both = current.join(new, key, "full_outer")
+    known, seen = F.col("id").isNotNull(), F.col("_new").isNotNull()
+    weight = F.when(known & seen, F.greatest("weight", "_weight")).when(known, F.col("weight")).otherwise(F.col("_weight"))
+    at = F.when(seen, F.lit(now)).otherwise(F.col("t_last_verified"))
+    out = both.select(F.coalesce("id", "_id").alias("id"), *key, weight.alias("weight"), at.alias("t_last_verified"))
+    return out.unionByName(bare.select("id", *key, "weight", F.lit(now).alias("t_last_verified")))
+
+
+def insert_conventions(current: DataFrame, new: DataFrame, now) -> DataFrame:
+    """Conventions ``(id, category, pattern, confidence, t_ingested_at)`` with the new ``(category, pattern, confidence)`` after them.
+
+    Inserting is an append: a pattern that is there already becomes one more row.
+    """
+    return appended(current, new.select("category", "pattern", "confidence", F.lit(now).alias("t_ingested_at")))
+
+
 def next_batch(rows: DataFrame, n: int = 256) -> DataFrame:
     """The ``n`` oldest rows that aren't promoted yet, by id."""
     return rows.where(~F.coalesce("promoted", F.lit(False))).orderBy("id").limit(n)

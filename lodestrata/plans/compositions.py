@@ -10,6 +10,7 @@ from lodestrata.operators import fusion, lookup
 from lodestrata.plans import fanout, index, merging, tools
 from lodestrata.plans.fixtures import duck
 from lodestrata.plans.merging import _A06, _S
+from lodestrata.plans.texts import _PREVIEW
 from lodestrata.plans.traversals import blast_sql
 
 QUERIES, ORACLE = {}, {}
@@ -87,10 +88,14 @@ QUERIES["tool_review_changes"] = review
 
 def search(t):
     rows = t.documents.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
-    return tools.search_code({"entities": t.entities, "files": rows}, "brand", 500)
+    return tools.search_code({"entities": t.entities, "files": rows}, "an", 500).withColumn("preview", F.md5("preview"))
 
 
-QUERIES["tool_search_code"] = search
+both("tool_search_code", search, rf""", s AS (SELECT file_path AS file, CAST(coalesce(start_line, 0) AS INT) AS line, md5(coalesce(qualified_name, name)) AS preview, 0 AS side, row_number() OVER (ORDER BY t_ingested_at DESC, id DESC) AS pos FROM entities WHERE lower(name) LIKE '%an%' OR lower(qualified_name) LIKE '%an%' QUALIFY pos <= 500),
+x AS (SELECT file_path AS file, line_no AS line, {_PREVIEW}, 1 AS side, row_number() OVER (ORDER BY string_split(file_path, '/'), line_no) AS pos FROM lines WHERE regexp_matches(line, '(?i)an') QUALIFY pos <= 500),
+a AS (SELECT * FROM s UNION ALL SELECT * FROM x), f AS (SELECT file, line, min((side, pos)) AS first FROM a GROUP BY ALL), t AS (SELECT * FROM f ORDER BY first LIMIT 500), z AS (SELECT count(*) AS n, max(first) AS last FROM t),
+g AS (SELECT file, line, arg_min(preview, (side, pos)) AS first_preview, min(side) AS side, count(*) FILTER (side = 1) AS texts, arg_max(preview, pos) FILTER (side = 1) AS last_text FROM a JOIN t USING (file, line), z WHERE n < 500 OR (a.side, a.pos) <= last GROUP BY ALL)
+SELECT file, line, CASE WHEN side = 0 AND texts > 0 OR texts > 1 THEN 'both' WHEN side = 0 THEN 'symbol' ELSE 'text' END AS source, CASE WHEN side = 0 AND texts > 0 OR texts > 1 THEN last_text ELSE first_preview END AS preview FROM g""", "entities", "lines")
 
 
 def edit_context(t):

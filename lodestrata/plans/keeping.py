@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import upkeep
+from lodestrata.operators import snapshots, upkeep
 from lodestrata.plans.fixtures import duck
+from lodestrata.streaming import jobs
 
 QUERIES, ORACLE = {}, {}
 
@@ -151,3 +153,45 @@ _GONE = " OR ".join(
     ]
 )
 both("S02_ignored", s02, f"SELECT DISTINCT path FROM paths WHERE {_GONE}", "paths")
+
+
+def d02(t):
+    r = t.relations.select("id", "source_id", "target_id", "kind", "weight")
+    known = r.where("id % 3 <> 0").groupBy("source_id", "target_id", "kind").agg(F.min("id").alias("id"), F.min("weight").alias("weight")).withColumn("t_last_verified", F.lit(1).cast("bigint"))
+    new = r.where("id % 2 = 0").withColumn("id", F.col("id") + 1000000)
+    return snapshots.upsert_relations(known.select("id", "source_id", "target_id", "kind", "weight", "t_last_verified"), new, F.lit(9).cast("bigint"))
+
+
+both("D02_upsert_relations", d02, """, c AS (SELECT source_id, target_id, kind, min(id) AS id, min(weight) AS weight FROM relations WHERE id % 3 <> 0 GROUP BY ALL), n AS (SELECT source_id, target_id, kind, min(id) + 1000000 AS id, max(weight) AS weight FROM relations WHERE id % 2 = 0 GROUP BY ALL)
+SELECT coalesce(c.id, n.id) AS id, source_id, target_id, kind, CASE WHEN c.id IS NULL THEN n.weight WHEN n.id IS NULL THEN c.weight ELSE greatest(c.weight, n.weight) END AS weight, CAST(CASE WHEN n.id IS NULL THEN 1 ELSE 9 END AS BIGINT) AS t_last_verified FROM c FULL JOIN n USING (source_id, target_id, kind)""", "relations")
+
+
+def d03(t):
+    s = t.hot_signals
+    known = s.where("id % 2 = 0").select("id", F.col("pattern").alias("category"), F.col("pattern_hash").alias("pattern"), F.lit(0.5).alias("confidence"), F.lit(1).cast("bigint").alias("t_ingested_at"))
+    new = s.where("id % 7 = 0").groupBy(F.col("pattern").alias("category"), F.col("pattern_hash").alias("pattern")).agg((F.count("*") / 100).alias("confidence"))
+    return snapshots.insert_conventions(known, new, F.lit(9).cast("bigint"))
+
+
+both("D03_insert_conventions", d03, """, k AS (SELECT id, pattern AS category, pattern_hash AS pattern, CAST(0.5 AS DOUBLE) AS confidence, CAST(1 AS BIGINT) AS t_ingested_at FROM hot_signals WHERE id % 2 = 0),
+n AS (SELECT pattern AS category, pattern_hash AS pattern, count(*) / 100 AS confidence FROM hot_signals WHERE id % 7 = 0 GROUP BY ALL)
+SELECT * FROM k UNION ALL SELECT (SELECT max(id) FROM k) + row_number() OVER (ORDER BY category, pattern, confidence), category, pattern, confidence, 9 FROM n""", "hot_signals")
+
+
+def x06(t):
+    """The batch after the even ids were promoted: the 256 oldest others, and what they are promoted to."""
+    return jobs.promote_unpromoted(t.hot_signals, t.hot_signals.where("id % 2 = 0"), lambda b: jobs.promote_conventions(b, 2))
+
+
+_X06 = ", b AS (SELECT * FROM hot_signals WHERE id % 2 <> 0 ORDER BY id LIMIT 256)"
+both("X06_promoted", lambda t: x06(t)[0], _X06 + " SELECT pattern_hash, count(*) AS n, arg_min(pattern, id) AS pattern, 'Pattern observed in ' || count(*) || ' files' AS description FROM b GROUP BY pattern_hash HAVING count(*) >= 2", "hot_signals")
+both("X06_marked", lambda t: x06(t)[1], _X06 + " SELECT id FROM b", "hot_signals")
+
+
+def l09(t):
+    """Touched files by the last touch: a touch of a file that waits already moves it up."""
+    touched = t.calls.select(F.concat_ws("/", "session_id", "file").alias("path"), "at")
+    return jobs.recent_paths(touched, 50).withColumn("place", F.row_number().over(Window.orderBy(F.desc("at"), "path")))
+
+
+both("L09_priority_queue", l09, """SELECT *, CAST(row_number() OVER (ORDER BY "at" DESC, path) AS INT) AS place FROM (SELECT session_id || '/' || file AS path, max("at") AS "at" FROM calls GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)""", "calls")
