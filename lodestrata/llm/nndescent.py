@@ -30,6 +30,8 @@ NEIGHBOURS, BLOCK_ROWS, LEAST_ROWS = 24, 8_192, 512
 SAMPLE, LEAF, ENTRIES = 16_384, 64, 256
 #: Descent ends when a round renews less than this share of all list entries, or after so many rounds.
 RENEWED, ROUNDS = 0.02, 8
+#: Entries that a task gathers before it keeps the best.
+HELD = 1 << 18
 #: A query's beam, and how many of it are expanded a round.
 BEAM, EXPAND = 64, 64
 
@@ -222,7 +224,7 @@ def _merge(batches: Iterator, width: int) -> Iterator:
         key = np.repeat(b.column("key").to_numpy(zero_copy_only=False), _sizes(b, "pos"))
         new = (key, _flat(b, "pos"), _flat(b, "score"), _flat(b, "flag"))
         held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-        if len(held[0]) > 1 << 19:
+        if len(held[0]) > HELD:
             best = _best(*held, width)
             cut = np.searchsorted(best[0], held[0][-1])  # the last key may go on
             if cut:
@@ -335,9 +337,9 @@ def _meet(batches: Iterator, dim: int) -> Iterator:
                 better = (s > worst[m][:, None]) & (fresh[:, None] | fresh[None])
                 np.fill_diagonal(better, False)
                 i, j = np.nonzero(better)
-                held.append((m[i], m[j], s[i, j]))
+                held.append((m[i].astype(np.int32), m[j].astype(np.int32), s[i, j]))
                 size += len(i)
-                if size > 1 << 21:
+                if size > 2 * HELD:
                     held = [_kept(held)]
                     size = len(held[0][0])
         if size:
@@ -417,7 +419,7 @@ def _expand(batches: Iterator, dim: int) -> Iterator:
         for b in lists:
             ends, members = np.concatenate([[0], np.cumsum(_sizes(b, "members"))]), np.searchsorted(pos, _flat(b, "members"))
             of.update(zip(b.column("pos").to_pylist(), (members[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)), strict=True))
-        for b in asked:
+        for b in (piece for whole in asked for piece in (whole.slice(at, 2_048) for at in range(0, whole.num_rows, 2_048))):
             held = []
             for key, vec, worst, nodes in zip(*(b.column(c).to_pylist() for c in ("pos", "vec", "worst", "members")), strict=True):
                 near = [of[n] for n in nodes if n in of]
@@ -427,6 +429,9 @@ def _expand(batches: Iterator, dim: int) -> Iterator:
                 s = x[m] @ np.frombuffer(vec, np.float32)
                 if worst is not None:
                     m, s = m[s > worst], s[s > worst]
+                if len(m) > BEAM:
+                    top = np.lexsort((m, -s))[:BEAM]
+                    m, s = m[top], s[top]
                 held.append((np.full(len(m), key), pos[m], s))
             if held and sum(len(h[0]) for h in held):
                 key, p, s = (np.concatenate(c) for c in zip(*held, strict=True))
