@@ -103,7 +103,11 @@ def edit_context(t):
     return tools.get_context_for_edit({"hits": t.group_hits}, have, 4000).drop("contributing").withColumn("score", F.round("score", 9))
 
 
-QUERIES["tool_get_context_for_edit"] = edit_context
+_EW = merging._case("grp", dict(zip(dims.GROUPS, dims.GROUP_WEIGHTS["get_context_for_edit"], strict=True)), 0)
+both("tool_get_context_for_edit", edit_context, f""", f AS (SELECT file_path, start_line, end_line, sum(w / (60 + rank)) AS s, arg_min(snippet, (-w, grp, rank)) AS snippet FROM (SELECT *, CAST({_EW} AS DOUBLE) AS w FROM group_hits WHERE status = 'available') GROUP BY file_path, start_line, end_line HAVING s <> 0),
+k AS (SELECT *, CAST(length(coalesce(snippet, '')) // 4 + length(file_path) // 4 + 8 AS BIGINT) AS tokens FROM f WHERE file_path <> 'src0/en/0'),
+r AS (SELECT *, sum(tokens) OVER (ORDER BY s DESC, string_split(file_path, '/'), start_line, end_line ROWS UNBOUNDED PRECEDING) AS running FROM k)
+SELECT file_path, start_line, end_line, round(s, 9) AS score, snippet, tokens, CAST(running AS BIGINT) AS running FROM r WHERE running <= 4000""", "group_hits")
 
 
 def understand(t):
