@@ -21,8 +21,8 @@ HEAD = 64
 def first_leaders(items: DataFrame, threshold: float, head: int = HEAD) -> DataFrame:
     """``items(group, place, words)`` with distinct words and unique places to ``(place, leader)``, the first similar leader's place.
 
-    Sets are similar if they share at least ``threshold`` of their union; empty ones are
-    alike. Two such sets share one of their rarest words, so items meet by (group,
+    Sets are similar if they share at least ``threshold`` of their union; an empty one is
+    similar to none and leads itself. Two such sets share one of their rarest words, so items meet by (group,
     word) in posting lists. Of a list a round compares its first ``head`` undecided items
     with each other and its new leaders with the rest: a group of near copies costs one
     comparison each, and no task holds a group.
@@ -44,8 +44,7 @@ def first_leaders(items: DataFrame, threshold: float, head: int = HEAD) -> DataF
         links.append(found)
         decided = new.unionByName(found.select(F.col("b").alias("place")))
         open_ = stored(open_.join(decided.distinct(), "place", "left_anti"), "open")
-    empty = sets.where("n = 0")
-    out = empty.join(empty.groupBy("group").agg(F.min("place").alias("leader")), "group").select("place", "leader")
+    out = sets.where("n = 0").select("place", F.col("place").alias("leader"))
     if links:
         led = functools.reduce(DataFrame.unionByName, leaders)
         out = out.unionByName(led.select("place", F.col("place").alias("leader")))

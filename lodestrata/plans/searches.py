@@ -67,7 +67,7 @@ def _observations(t):
 _CLUSTERED = r"""WITH RECURSIVE o AS (SELECT doc_id AS id, text, source || '/' || lang AS symbol, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents),
 r AS (SELECT symbol, n, id, id AS leader, [{'id': id, 'w': w}] AS led FROM o WHERE n = 1
   UNION ALL SELECT symbol, n, id, coalesce(first, id), CASE WHEN first IS NULL THEN list_append(led, {'id': id, 'w': w}) ELSE led END FROM
-  (SELECT o.symbol, o.n, o.id, o.w, r.led, list_filter(r.led, lambda l: len(list_intersect(l.w, o.w)) >= 0.9 * (len(l.w) + len(o.w) - len(list_intersect(l.w, o.w))))[1].id AS first FROM r JOIN o ON o.symbol = r.symbol AND o.n = r.n + 1)),
+  (SELECT o.symbol, o.n, o.id, o.w, r.led, list_filter(r.led, lambda l: len(o.w) > 0 AND len(list_intersect(l.w, o.w)) >= 0.9 * (len(l.w) + len(o.w) - len(list_intersect(l.w, o.w))))[1].id AS first FROM r JOIN o ON o.symbol = r.symbol AND o.n = r.n + 1)),
 c AS (SELECT r.id, r.leader, o.symbol AS related_symbol, o.text FROM r JOIN o USING (id))
 """
 both("A12_cluster_observations", lambda t: jobs.cluster_observations(_observations(t)).select("id", "related_symbol", "leader"), _CLUSTERED + "SELECT id, related_symbol, leader FROM c")

@@ -52,15 +52,15 @@ def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     In id order (nulls first, then by text) a row joins the first cluster of its symbol
     (null equals null) whose leader's word set is similar enough, else it leads a new one.
-    Rows of a symbol with equal sets share their first row's fate, so they are folded
-    first; the rest is decided in rounds (``first_leaders``), not a symbol a task. Every
+    An empty set is similar to none. Rows of a symbol with equal sets share their first
+    row's fate, so they are folded first; the rest is decided in rounds (``first_leaders``), not a symbol a task. Every
     row is kept, whatever its id.
     """
     group = F.coalesce(F.concat(F.lit("s"), F.col("related_symbol")), F.lit("n"))
     held = F.array_sort(F.array_distinct(F.coalesce(words(F.col("raw_text")), F.array().cast("array<string>"))))
     marked = rows.withColumn("_group", group).withColumn("_words", held)
     placed = numbered(marked, ["_group", "id", "raw_text"], "_place")
-    placed = stored(placed.withColumn("_a", F.xxhash64("_words")).withColumn("_b", F.xxhash64(F.lit(7), "_words")), "observations")
+    placed = stored(placed.withColumn("_a", F.when(F.size("_words") == 0, F.col("_place")).otherwise(F.xxhash64("_words"))).withColumn("_b", F.xxhash64(F.lit(7), "_words")), "observations")
     key = ["_group", "_a", "_b"]
     folded = stored(placed.groupBy(*key).agg(F.min("_place").alias("place"), F.first("_words").alias("words")), "folded")
     led = first_leaders(folded.select(F.col("_group").alias("group"), "place", "words"), threshold)

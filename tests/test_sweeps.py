@@ -71,7 +71,7 @@ def serial(items, threshold):
     leaders, out = [], {}
     for group, place, words in sorted(items, key=lambda x: x[1]):
         w = set(words)
-        first = next((p for g, p, v in leaders if g == group and len(w & v) >= threshold * len(w | v)), None)
+        first = next((p for g, p, v in leaders if w and g == group and len(w & v) >= threshold * len(w | v)), None)
         if first is None:
             leaders.append((group, place, w))
         out[place] = place if first is None else first
@@ -93,7 +93,7 @@ def test_greedy_rounds_equal_the_serial_order(spark, head, threshold):
 def test_clusters_keep_null_and_repeated_ids(spark):
     rows = [(None, "a b", "s", 1), (1, "a b", "s", 2), (1, "c d", "s", 3), (1, "c d", "s", 4), (2, None, None, 5), (3, "", None, 6)]
     got = jobs.cluster_observations(spark.createDataFrame(rows, "id bigint, raw_text string, related_symbol string, created_at bigint"))
-    assert sorted((r["created_at"], r["leader"]) for r in got.collect() if r["leader"] is not None) == [(3, 1), (4, 1), (5, 2), (6, 2)]
+    assert sorted((r["created_at"], r["leader"]) for r in got.collect() if r["leader"] is not None) == [(3, 1), (4, 1), (5, 2), (6, 3)]
     assert got.count() == 6
 
 
