@@ -25,15 +25,15 @@ from lodestrata.llm.scratch import place, shielded, table
 from lodestrata.operators.graph import numbered
 
 #: Neighbours of a node, as many of those that name it, and nodes of a block at most and at least.
-NEIGHBOURS, BLOCK_ROWS, LEAST_ROWS = 24, 8_192, 512
+NEIGHBOURS, BLOCK_ROWS, LEAST_ROWS = 32, 8_192, 512
 #: Vectors on which the projection tree is fitted, its leaves' share of them, and entry points.
 SAMPLE, LEAF, ENTRIES = 16_384, 64, 256
 #: Descent ends when a round renews less than this share of all list entries, or after so many rounds.
-RENEWED, ROUNDS = 0.02, 8
+RENEWED, ROUNDS = 0.01, 8
 #: Entries that a task gathers before it keeps the best.
 HELD = 1 << 18
 #: A query's beam, and how many of it are expanded a round.
-BEAM, EXPAND = 64, 64
+BEAM, EXPAND = 160, 160
 
 _LISTS = "key bigint, pos array<bigint>, score array<float>, flag array<boolean>"
 
