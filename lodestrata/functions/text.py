@@ -188,7 +188,8 @@ def decode_range(r: Column) -> tuple[Column, Column]:
 
 
 def utc_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+    """Date and time; a year beyond 9999 is written without the sign that Spark puts before it."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("+"))
 
 
 def expires_at(created: Column, ttl: Column) -> Column:

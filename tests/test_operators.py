@@ -385,3 +385,12 @@ def test_drop_overlaps_is_greedy(spark):
         if all((min(r[2], o[2]) - max(r[1], o[1]) + 1) / (max(r[2], o[2]) - min(r[1], o[1]) + 1) <= 0.7 for o in kept):
             kept.append(r)
     assert sorted(r["rank"] for r in context.drop_overlaps(spark.createDataFrame(many, cols)).collect()) == [r[3] for r in kept]
+
+
+def test_utc_text_beyond_four_digits(spark):
+    seconds = [0, 86399, 253402300799, 253402300800, 518400000000]
+    got = spark.createDataFrame([(k,) for k in seconds], "s bigint").select("s", text.utc_text(F.col("s")).alias("at")).collect()
+    import duckdb
+
+    want = duckdb.connect().execute("SELECT s, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') FROM (SELECT unnest(?) AS s)", [seconds]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
