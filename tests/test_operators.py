@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import paths, reasons, text
 from lodestrata.operators import context, fusion, graph, lookup, merge, snapshots, vector
 from lodestrata.streaming import jobs
+from oracle import assert_same
 
 HITS = "source string, rank int, file_path string, start_line int, end_line int, snippet string"
 
@@ -394,3 +395,16 @@ def test_utc_text_beyond_four_digits(spark):
 
     want = duckdb.connect().execute("SELECT s, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') FROM (SELECT unnest(?) AS s)", [seconds]).fetchall()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_equal_places_of_text_hits(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.plans import registry
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    # ids 100,003 apart have equal places in the query's order
+    con.execute(f"COPY (SELECT (k % 4) * 100003 + k // 4 AS p_partkey, 'n' || k AS p_name, 'B' AS p_brand, 'T' AS p_type, CAST(8 + k // 40 AS INT) AS p_size, 1.0::DOUBLE AS p_retailprice FROM range(400) t(k) ORDER BY 1) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    assert assert_same(registry.queries()["J08_merge_search"](spark, str(tmp_path)), con, registry.oracle_sql()["J08_merge_search"]) > 0
