@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestrata.functions.text import words
 from lodestrata.operators.graph import numbered
-from lodestrata.operators.greedy import first_leaders
+from lodestrata.operators.greedy import first_leaders, shared, signatures
 from lodestrata.session import stored
 
 
@@ -53,20 +53,27 @@ def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     In id order (nulls first, then by text) a row joins the first cluster of its symbol
     (null equals null) whose leader's word set is similar enough, else it leads a new one.
     An empty set is similar to none. Rows of a symbol with equal sets share their first
-    row's fate, so they are folded first; the rest is decided in rounds (``first_leaders``), not a symbol a task. Every
+    row's fate, so they are folded first; sets that may have a similar one are decided in
+    rounds (``first_leaders``), not a symbol a task. Of the others only hashes leave a task. Every
     row is kept, whatever its id.
     """
     group = F.coalesce(F.concat(F.lit("s"), F.col("related_symbol")), F.lit("n"))
-    held = F.array_sort(F.array_distinct(F.coalesce(words(F.col("raw_text")), F.array().cast("array<string>"))))
+    held = F.sort_array(F.array_distinct(F.coalesce(words(F.col("raw_text")), F.array().cast("array<string>"))))
     marked = rows.withColumn("_group", group).withColumn("_words", held)
-    placed = numbered(marked, ["_group", "id", "raw_text"], "_place")
-    placed = stored(placed.withColumn("_a", F.when(F.size("_words") == 0, F.col("_place")).otherwise(F.xxhash64("_words"))).withColumn("_b", F.xxhash64(F.lit(7), "_words")), "observations")
-    key = ["_group", "_a", "_b"]
-    folded = stored(placed.groupBy(*key).agg(F.min("_place").alias("place"), F.first("_words").alias("words")), "folded")
-    led = first_leaders(folded.select(F.col("_group").alias("group"), "place", "words"), threshold)
-    names = placed.select(F.col("_place").alias("leader"), F.col("id").cast("bigint").alias("_id"))
-    named = folded.select(*key, "place").join(led, "place").join(names, "leader").select(*key, F.col("_id").alias("leader"))
-    return placed.join(named, key).select(*rows.columns, "leader")
+    marked = marked.withColumn("_a", F.xxhash64("_group", "_words")).withColumn("_b", F.xxhash64(F.lit(7), "_group", "_words"))
+    filled, key, ident = marked.where(F.size("_words") > 0), ["_a", "_b"], F.col("id").cast("bigint")
+    keys = signatures(filled.select(F.col("_group").alias("group"), F.col("_words").alias("words"), "_a"), threshold, "_a")
+    postings = stored(shared(keys, "_a"), "shared")
+    near = filled.join(postings.select("_a").distinct(), "_a", "left_semi")
+    near = near.groupBy(*key).agg(F.min(F.struct("_group", "id", "raw_text")).alias("first"), F.first("_words").alias("words"))
+    near = stored(numbered(near, ["first._group", "first.id", "first.raw_text"], "place").select(*key, "place", F.col("first._group").alias("group"), F.col("first.id").cast("bigint").alias("id"), "words"), "observations")
+    led = first_leaders(near.select("group", "place", "words"), threshold, postings=postings.join(near.select("_a", "place"), "_a").select("key", "place"))
+    named = near.select(*key, "place").join(led, "place").join(near.select(F.col("place").alias("leader"), F.col("id").alias("_led")), "leader").select(*key, "_led", F.lit(True).alias("_near"))
+    # a set that meets no other is led by its first row: a null id comes first
+    first = filled.groupBy(*key).agg(F.when(F.count("*") == F.count("id"), F.min(ident)).alias("_first"))
+    named = first.join(named, key, "left").select(*key, F.when(F.col("_near"), F.col("_led")).otherwise(F.col("_first")).alias("leader"))
+    out = marked.join(stored(named, "leaders"), key, "left")
+    return out.select(*rows.columns, F.when(F.size("_words") == 0, ident).otherwise(F.col("leader")).alias("leader"))
 
 
 def promote_observations(clustered: DataFrame) -> DataFrame:

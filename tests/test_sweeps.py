@@ -90,6 +90,23 @@ def test_greedy_rounds_equal_the_serial_order(spark, head, threshold):
     assert got == serial(items, threshold)
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.75])
+def test_only_similar_sets_meet(spark, threshold):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    sets = {k: set(r.sample(words, r.randint(1, 45))) for k in range(600)}  # common words all of them
+    near = {1000 + k: {*r.sample(sorted(v), max(1, round(len(v) * 0.95))), f"y{k}"} for k, v in sets.items() if k % 4 == 0}
+    sets |= near
+    df = spark.createDataFrame([("g", k, sorted(v)) for k, v in sets.items()], "group string, place bigint, words array<string>").repartition(5)
+    lists = {}
+    for row in greedy.shared(greedy.signatures(df, threshold, "place"), "place").collect():
+        lists.setdefault(row["key"], []).append(row["place"])
+    met = {(a, b) for v in lists.values() for a in v for b in v if a < b}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    assert similar and similar <= met
+    assert threshold < 0.9 or len(met) < 0.05 * len(sets) ** 2 / 2  # by common words nearly all of them met
+
+
 def test_clusters_keep_null_and_repeated_ids(spark):
     rows = [(None, "a b", "s", 1), (1, "a b", "s", 2), (1, "c d", "s", 3), (1, "c d", "s", 4), (2, None, None, 5), (3, "", None, 6)]
     got = jobs.cluster_observations(spark.createDataFrame(rows, "id bigint, raw_text string, related_symbol string, created_at bigint"))
