@@ -242,3 +242,14 @@ def test_promotion_marks_what_it_took(spark, tmp_path):
     warm = spark.read.parquet(f"{tmp_path}/out/warm")
     assert warm.agg(F.sum("n")).first()[0] == 20 and spark.read.parquet(f"{tmp_path}/out/marks").select("id").distinct().count() == 20
     assert run(hot.unionByName(spark.createDataFrame([(77, "new", "y")], hot.schema))) == 1
+
+
+def test_promotion_of_unrelated_rows_with_common_words(spark):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(r.sample(words, 20)), "s", k) for k in range(200)]
+    rows += [(1000 + k, rows[k][1] + " " + rows[k][1][:2], "s", 1000 + k) for k in range(0, 200, 10)]  # a word more at most
+    df = spark.createDataFrame(rows, "id bigint, raw_text string, related_symbol string, created_at bigint")
+    led = serial([("s", i, t.split()) for i, t, _, _ in rows], 0.9)
+    got = {x["leader"]: (x["n"], x["last_at"]) for x in jobs.promote_observations(jobs.cluster_observations(df)).collect()}
+    assert got == {a: (list(led.values()).count(a), max(k for k, b in led.items() if b == a)) for a in set(led.values())}
