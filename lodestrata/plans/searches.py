@@ -71,5 +71,5 @@ r AS (SELECT symbol, n, id, id AS leader, [{'id': id, 'w': w}] AS led FROM o WHE
 c AS (SELECT r.id, r.leader, o.symbol AS related_symbol, o.text FROM r JOIN o USING (id))
 """
 both("A12_cluster_observations", lambda t: jobs.cluster_observations(_observations(t)).select("id", "related_symbol", "leader"), _CLUSTERED + "SELECT id, related_symbol, leader FROM c")
-both("A13_promote_observations", lambda t: jobs.promote_observations(jobs.cluster_observations(_observations(t))).withColumn("summary", F.md5("summary")),
+both("A13_promote_observations", lambda t: jobs.promoted_clusters(_observations(t)).withColumn("summary", F.md5("summary")),
      _CLUSTERED + """SELECT leader, md5(arg_max(text, (strlen(text), id))) AS summary, min(id) AS first_at, max(id) AS last_at, CAST(to_json(list_sort(list_distinct(list(related_symbol)))) AS STRING) AS symbols, count(*) AS n, CAST(0.6 AS DOUBLE) AS confidence FROM c GROUP BY leader""")

@@ -46,6 +46,9 @@ def index_candidates(events: DataFrame) -> DataFrame:
 
 # ---- promotion of hot rows
 
+#: Keys of sets that may have a similar one which are broadcast at most, some 16 MB.
+MEETING = 1_000_000
+
 
 def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``(id, raw_text, related_symbol, created_at)`` with ``leader``, the id of a cluster's leader.
@@ -64,7 +67,8 @@ def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     filled, key, ident = marked.where(F.size("_words") > 0), ["_a", "_b"], F.col("id").cast("bigint")
     keys = signatures(filled.select(F.col("_group").alias("group"), F.col("_words").alias("words"), "_a"), threshold, "_a")
     postings = stored(shared(keys, "_a"), "shared")
-    near = filled.join(postings.select("_a").distinct(), "_a", "left_semi")
+    meet = stored(postings.select("_a").distinct(), "meeting")
+    near = filled.join(F.broadcast(meet) if meet.limit(MEETING + 1).count() <= MEETING else meet, "_a", "left_semi")
     near = near.groupBy(*key).agg(F.min(F.struct("_group", "id", "raw_text")).alias("first"), F.first("_words").alias("words"))
     near = stored(numbered(near, ["first._group", "first.id", "first.raw_text"], "place").select(*key, "place", F.col("first._group").alias("group"), F.col("first.id").cast("bigint").alias("id"), "words"), "observations")
     led = first_leaders(near.select("group", "place", "words"), threshold, postings=postings.join(near.select("_a", "place"), "_a").select("key", "place"))
@@ -72,14 +76,18 @@ def cluster_observations(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     # a set that meets no other is led by its first row: a null id comes first
     first = filled.groupBy(*key).agg(F.when(F.count("*") == F.count("id"), F.min(ident)).alias("_first"))
     named = first.join(named, key, "left").select(*key, F.when(F.col("_near"), F.col("_led")).otherwise(F.col("_first")).alias("leader"))
-    out = marked.join(stored(named, "leaders"), key, "left")
-    return out.select(*rows.columns, F.when(F.size("_words") == 0, ident).otherwise(F.col("leader")).alias("leader"))
+    out = marked.withColumn("_bare", F.size("_words") == 0).drop("_words").join(stored(named, "leaders"), key, "left")
+    return out.select(*rows.columns, F.when(F.col("_bare"), ident).otherwise(F.col("leader")).alias("leader"))
 
 
 def promote_observations(clustered: DataFrame) -> DataFrame:
     """One warm row a cluster: its longest text by bytes (the last in a tie), times, symbols, count."""
+    return _warm(clustered, F.col("raw_text"), F.octet_length("raw_text"))
+
+
+def _warm(clustered: DataFrame, summary: Column, size: Column) -> DataFrame:
     return clustered.groupBy("leader").agg(
-        F.max_by("raw_text", F.struct(F.octet_length("raw_text"), F.col("id"))).alias("summary"),
+        F.max_by(summary, F.struct(size, F.col("id"))).alias("summary"),
         F.min("created_at").alias("first_at"),
         F.max("created_at").alias("last_at"),
         F.to_json(F.array_sort(F.collect_set("related_symbol"))).alias("symbols"),
@@ -88,6 +96,32 @@ def promote_observations(clustered: DataFrame) -> DataFrame:
     )
 
 
+def promoted_clusters(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """``promote_observations`` of the clusters of ``rows``, whose texts are sent once and never sorted.
+
+    Clusters choose by a text's size and hashes; then each text meets the choices of its
+    row in a hash join. Only chosen rows that repeat id and text are told apart after that.
+    """
+    key = ["id", "_t", "_u"]
+    texts = rows.withColumn("_t", F.xxhash64("raw_text")).withColumn("_u", F.xxhash64(F.lit(7), "raw_text"))
+    led = cluster_observations(texts.withColumn("_size", F.octet_length("raw_text")), threshold).drop("raw_text")
+    warm = _warm(led, F.struct(*key), F.col("_size"))
+    warm = stored(warm.select("leader", "summary.*", *[c for c in warm.columns if c not in ("leader", "summary")]).withColumnRenamed("id", "_id"), "warm")
+    again = stored(texts.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").drop("k"), "repeated")
+
+    def same(x: DataFrame, id_: str, y: DataFrame) -> Column:
+        return x[id_].eqNullSafe(y["id"]) & (x["_t"] == y["_t"]) & (x["_u"] == y["_u"])
+
+    def told(some: DataFrame) -> DataFrame:
+        some = some.hint("shuffle_hash")
+        return texts.join(some, same(some, "_id", texts)).select("leader", F.col("raw_text").alias("summary"), *[c for c in warm.columns if c not in ("leader", "_id", "_t", "_u")])
+
+    if again.isEmpty():
+        return told(warm)
+    twice = told(warm.join(again, same(warm, "_id", again), "left_semi")).dropDuplicates(["leader"])
+    return told(warm.join(again, same(warm, "_id", again), "left_anti")).unionByName(twice)
+
+
 def promote_conventions(signals: DataFrame, least: int = 3) -> DataFrame:
     found = signals.groupBy("pattern_hash").agg(F.count("*").alias("n"), F.min_by("pattern", "id").alias("pattern"))
     found = found.where(F.col("n") >= least)

@@ -253,3 +253,33 @@ def test_promotion_of_unrelated_rows_with_common_words(spark):
     led = serial([("s", i, t.split()) for i, t, _, _ in rows], 0.9)
     got = {x["leader"]: (x["n"], x["last_at"]) for x in jobs.promote_observations(jobs.cluster_observations(df)).collect()}
     assert got == {a: (list(led.values()).count(a), max(k for k, b in led.items() if b == a)) for a in set(led.values())}
+
+
+def test_promotion_sends_texts_once(spark):
+    """Beyond broadcast sizes: the same rows as the plain form, with less sent."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(40))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(150)]
+    rows = [(k, texts[k % 150] + (" tail" if k % 7 == 0 else ""), "s", k) for k in range(200)] + [(3, texts[3], "s", 3), (3, texts[3], "t", 3), (None, "", None, 1), (900, None, "s", 2)]
+    df = spark.createDataFrame(rows, "id bigint, raw_text string, related_symbol string, created_at bigint")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: sum(x.shuffleWriteBytes() for x in _stages(store, spark))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some in (spark.createDataFrame(rows[:150], df.schema), df):
+            at, out = [sent()], []
+            for form in (lambda d: jobs.promote_observations(jobs.cluster_observations(d)), jobs.promoted_clusters):
+                out.append(sorted((tuple(x) for x in form(some).collect()), key=repr))
+                at.append(sent())
+            assert out[0] == out[1]
+            assert some is df or at[2] - at[1] < at[1] - at[0], at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _stages(store, spark):
+    """All stages so far, as the status store has them."""
+    it = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None).iterator()
+    while it.hasNext():
+        yield it.next()
