@@ -110,18 +110,20 @@ def personalized_page_rank(nodes: DataFrame, edges: DataFrame, damping: float =
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     p = F.col("mass") / total if total else F.lit(1.0 / n)
-    known = nodes.select("node")
+    # no table is broadcast, which would send it through the driver in each round
+    known = nodes.select("node").hint("shuffle_hash")
     e = edges.where("source <> target").join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi")
     e = e.groupBy("source", "target").agg(F.count("*").alias("k"))
     out = e.groupBy("source").agg(F.sum("k").alias("out"))
+    out = out.hint("shuffle_hash")
     e = cut(e.join(out, "source").select("source", "target", (F.col("k") / F.col("out")).alias("share")))
-    base = cut(nodes.withColumn("p", p).join(out.withColumnRenamed("source", "node"), "node", "left").select("node", "p", F.col("out").isNull().alias("dangling")))
+    base = cut(nodes.withColumn("p", p).join(out.withColumnRenamed("source", "node").hint("shuffle_hash"), "node", "left").select("node", "p", F.col("out").isNull().alias("dangling")))
     ranks = base.select("node", "p", "dangling", F.lit(1.0 / n).alias("rank"))
     for _ in range(rounds):
         lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
-        flow = e.join(ranks.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        flow = e.join(ranks.select(F.col("node").alias("source"), "rank").hint("shuffle_hash"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         new = F.lit(1 - damping) * F.col("p") + F.lit(damping) * F.coalesce("flow", F.lit(0.0)) + F.lit(damping * lost / n)
-        nxt = cut(ranks.join(flow, "node", "left").select("node", "p", "dangling", F.col("rank").alias("_was"), new.alias("rank")))
+        nxt = cut(ranks.join(flow.hint("shuffle_hash"), "node", "left").select("node", "p", "dangling", F.col("rank").alias("_was"), new.alias("rank")))
         moved = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("_was")))).first()[0]
         ranks = nxt.drop("_was")
         if moved < tolerance:
@@ -138,7 +140,7 @@ def repo_map(entities: DataFrame, relations: DataFrame, recent: DataFrame, budge
 
     mass = entities.join(recent.distinct().withColumn("_r", F.lit(boost)), "file_path", "left").select(F.col("id").alias("node"), F.coalesce("_r", F.lit(1.0)).alias("mass"))
     ranks = personalized_page_rank(mass, relations.where("kind = 'calls'").select(F.col("source_id").alias("source"), F.col("target_id").alias("target")))
-    rows = entities.join(ranks, entities["id"] == ranks["node"]).drop("node")
+    rows = entities.join(ranks.hint("shuffle_hash"), entities["id"] == ranks["node"]).drop("node")
     tokens = entity_tokens(F.col("signature"), F.col("doc_comment"), F.col("qualified_name"), F.col("name"))
     return fit_to_budget(rows.withColumn("tokens", tokens), "tokens", [F.desc("rank"), F.coalesce("qualified_name", "name"), F.asc("id")], budget)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import greedy, ivfpq, keywords, lookup, sweep, upkeep, vector
+from lodestrata.operators import graph, greedy, ivfpq, keywords, lookup, sweep, upkeep, vector
 from lodestrata.streaming import jobs
 
 
@@ -294,3 +294,14 @@ def _stages(store, spark):
     it = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None).iterator()
     while it.hasNext():
         yield it.next()
+
+
+def test_rank_rounds_send_no_table_to_the_driver(spark):
+    n = 100_000
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(1.0).alias("mass"))
+    edges = spark.range(n).select(F.col("id").alias("source"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("target"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = sum(x.resultSize() for x in _stages(store, spark))
+    out = graph.personalized_page_rank(nodes, edges, rounds=2).agg(F.count("*"), F.sum("rank")).first()
+    assert out[0] == n and abs(out[1] - 1) < 1e-6
+    assert sum(x.resultSize() for x in _stages(store, spark)) - before < 1_000_000
