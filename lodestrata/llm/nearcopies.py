@@ -6,7 +6,8 @@ about ten bits of 64, a radius at which the trees prune nothing, so the rest is
 exactly by prefix filtering: texts with that similarity share a shingle among the first
 ``n - ceil(4n/5) + 1`` of their ``n`` distinct shingles under any order common to all. The
 order puts shingles that a sample of documents repeats last; it changes the work, not the
-result.
+result. Both see only texts that share enough shingles with others (``shares``), a seventh
+or so of a corpus with few near copies.
 
 Texts that meet at a shingle are first compared with their neighbours there, by size and
 in random orders, in two rounds, which joins groups of copies whatever their size. After that only pairs
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm import simhash
+from lodestrata.llm import shares, simhash
 from lodestrata.llm.components import components
 from lodestrata.llm.scratch import near, place, sampled, shielded, table, unshielded
 
@@ -40,9 +41,13 @@ CLOSEST = 2
 PARTNERS = 64
 #: Pairs of numbers that are broadcast at most, some 16 MB.
 NAMED = 1_000_000
+#: Keys of rows that go which are broadcast at most, some 16 MB.
+GONE = 300_000
 COMMON = 3
 MAX_COMMON = 1 << 18
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 18
+#: Shingles of texts that a task keeps while it compares pairs.
+SETS_KEPT = 1 << 21
 SEED = 42
 
 
@@ -148,34 +153,41 @@ def _may_match(a: str, b: str) -> str:
     return f"{a}.node <> {b}.node AND 5L * least({a}.n, {b}.n) >= 4L * greatest({a}.n, {b}.n) AND 9L * {rest} >= 4L * ({a}.n + {b}.n)"
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``a, node, hs`` sorted by a, its own set first, the pairs that are near."""
-    now = own = None
-    for b in batches:
-        first, other, ends, flat = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
-        found: list[tuple[int, int]] = []
-        for k, (a, node) in enumerate(zip(first, other, strict=True)):
-            hs = flat[ends[k] : ends[k + 1]]
-            if a == node:
-                now, own = a, hs.copy()
-            elif a == now and 9 * np.intersect1d(own, hs, assume_unique=True).size >= 4 * (own.size + hs.size):
-                found.append((a, node))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+def _agree(words: int):
+    """Of rows ``a, node, t`` sorted by a, its own text first, the pairs that are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sets, kept = _Hashes(), {}, 0
+        now = own = None
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for a, node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                if (hs := sets.get(node)) is None:
+                    hs = shingles(t.as_py(), words, hashes)
+                    if kept > SETS_KEPT:
+                        sets, kept = {}, 0
+                    sets[node] = hs
+                    kept += hs.size
+                if a == node:
+                    now, own = a, hs
+                elif a == now and 9 * np.intersect1d(own, hs, assume_unique=True).size >= 4 * (own.size + hs.size):
+                    found.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return run
 
 
 def _verified(nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose similarity is 4/5 or more; ``nodes`` has a row a text.
 
-    The sets of a text's partners are sent to its own set, once a pair; a text with many
-    partners meets them in several tasks.
+    A text's partners are sent to it, once a pair, and shingled there: compressed texts are
+    smaller than sets of hashes. A text with many partners meets them in several tasks.
     """
-    named = table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-named")
-    sets = table(_sets_of(nodes.join(near(named, NAMED), "node", "left_semi"), words), "near-sets")
     dealt = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("k")), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")))
     ends = dealt.select("a", "salt", F.col("a").alias("node")).distinct().unionByName(dealt.select("a", "salt", F.col("b").alias("node")))
-    sent = sets.join(near(table(ends, "near-ends"), NAMED), "node").select("a", "salt", "node", "hs")
+    sent = nodes.join(near(table(ends, "near-ends"), NAMED), "node").select("a", "salt", "node", "t")
     sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"))
-    return sent.select("a", "node", "hs").mapInArrow(_agree, "a bigint, b bigint")
+    return sent.select("a", "node", "t").mapInArrow(_agree(words), "a bigint, b bigint")
 
 
 def _searched(nodes: DataFrame, words: int, radius: int) -> DataFrame:
@@ -236,8 +248,23 @@ def _across(open_: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _paired(nodes: DataFrame, words: int) -> DataFrame:
+    """Texts that may have near copies, and no others but some that share as many shingles with several texts; repeats stay."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        hashes = _Hashes()
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                yield node, shingles(t.as_py(), words, hashes)
+
+    lone = table(shares.lone(nodes, sets), "near-lone")
+    some = table(nodes.select("node").distinct().join(lone, "node", "left_anti"), "near-some")
+    return table(nodes.select("node", "t").join(near(some, NAMED), "node", "left_semi"), "near-paired")
+
+
 def _labels(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     """``(node, label)`` of the texts that have near copies."""
+    nodes = _paired(nodes, words)
     if not nodes.groupBy("node").count().where("count > 1").isEmpty():
         nodes = table(nodes.select("node", "t").dropDuplicates(["node"]), "near-texts")
     first = table(_verified(nodes, table(_searched(nodes, words, radius), "near-searched"), words), "near-links")
@@ -297,6 +324,12 @@ def _marked(nodes: DataFrame, words: int, radius: int) -> DataFrame:
     return table(marked.drop("node"), "near-marked")
 
 
+def _without(marked: DataFrame, once: DataFrame) -> DataFrame:
+    """The keys of ``marked`` that aren't in ``once``."""
+    same = marked["id"].eqNullSafe(once["id"]) & (marked["text_node"] == once["text_node"]) & (marked["row"] == once["row"])
+    return marked.join(once, same, "left_anti").select("id", "text_node", "row")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies.
 
@@ -311,11 +344,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = rows.withColumn("row", whole).withColumn("node", F.xxhash64(F.coalesce(F.col(place(docs, text_col)), F.lit(""))))
     nodes = _nodes(rows, place(docs, id_col), place(docs, text_col), whole)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_node", "row")
-    marked = _marked(nodes, words, radius).groupBy("label", rank.alias("rank")).agg(F.count("*").alias("times"))
+    marked = table(_marked(nodes, words, radius).groupBy("label", rank.alias("rank")).agg(F.count("*").alias("times")), "near-ranked")
     first = marked.groupBy("label").agg(F.min_by(F.struct("rank.*", "times"), "rank").alias("f")).select("f.id", F.col("f.text_node").alias("node"), "f.row", "f.times")
+    # few rows go, so their keys are what is sent, not the texts of those that stay
+    keys = [own[place(docs, id_col)].cast("bigint"), own["node"], own["row"]]
     first = table(first, "near-stays")
-    stay = own.join(first, own[place(docs, id_col)].cast("bigint").eqNullSafe(first["id"]) & (own["node"] == first["node"]) & (own["row"] == first["row"]))
-    alone = stay.where("times = 1").select(*rows.columns)
+    once = first.where("times = 1").select("id", F.col("node").alias("text_node"), "row")
+    gone = near(table(_without(marked.select("rank.*"), once), "near-gone"), GONE)
+    alone = own.join(gone, keys[0].eqNullSafe(gone["id"]) & (keys[1] == gone["text_node"]) & (keys[2] == gone["row"]), "left_anti").select(*rows.columns)
     if not first.where("times > 1").isEmpty():
-        alone = alone.unionByName(stay.where("times > 1").dropDuplicates(["node", "row"]).select(*rows.columns))
+        many = first.where("times > 1")
+        stay = own.join(many, keys[0].eqNullSafe(many["id"]) & (keys[1] == many["node"]) & (keys[2] == many["row"]), "left_semi")
+        alone = alone.unionByName(stay.dropDuplicates(["node", "row"]).select(*rows.columns))
     return unshielded(alone, docs.columns)

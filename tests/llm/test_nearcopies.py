@@ -80,3 +80,46 @@ def test_given_documents(spark):
     want = labels([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect())
     assert got == sorted({*want.values()})
+
+
+def test_the_search_sees_only_texts_that_share_enough(spark, monkeypatch):
+    """Texts that have a passage in common with one other are left out before they are compared; every near copy stays."""
+    rows = [(k, f"{prose(1000 + k, 150)} {prose(2000 + k // 2, 40)}", "en", "s", 0) for k in range(200)]
+    rows += [(300 + i, t, *rest) for i, t, *rest in copies()[:10]]
+    seen, table = {}, nearcopies.table
+
+    def kept(df, label):
+        return seen.setdefault(label, table(df, label))
+
+    monkeypatch.setattr(nearcopies, "table", lambda df, label: kept(df, label) if label == "near-shared" else table(df, label))
+    got = nearcopies.near_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r["id"]: r["component_id"] for r in got} == labels(rows)
+    assert 0 < seen["near-shared"].select("node").distinct().count() <= 40
+
+
+def test_lone_texts_have_no_near_copy(monkeypatch):
+    """Chunks, parts and both size classes against brute force over hashes; a chunk of which a row is missing loses no text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestrata.llm import shares
+
+    monkeypatch.setattr(shares, "CHUNK", 3_000)
+    r = np.random.default_rng(7)
+    sets = []
+    for n in [1, 2, 5, 9, 40, 100, 126, 127, 128, 140, 158, 160, 161, 400, 900] * 3:
+        h = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        sets.append(h)
+        drop = int(r.integers(0, n // 4 + 1))
+        sets += [h[drop:], np.unique(np.concatenate([h, r.integers(0, 1 << 64, n // 4, dtype=np.uint64)]))][: int(r.integers(0, 3))]
+    sets.append(np.zeros(0, np.uint64))
+    parts = 4
+    sent = [x.slice(k, 1) for x in shares._sent(enumerate(sets), parts) for k in range(parts)]
+    by_part = [pa.Table.from_batches([x]).to_batches()[0] for x in sorted(sent, key=lambda x: x["part"][0].as_py())]
+    shared = sorted(shares._shared(iter(by_part)), key=lambda x: x["chunk"][0].as_py())
+    lone = {x for b in shares._lone(iter(shared), parts) for x in b["node"].to_pylist()}
+    alike_ = {a for a, x in enumerate(sets) for b, y in enumerate(sets) if a != b and x.size and 9 * np.intersect1d(x, y).size >= 4 * (x.size + y.size)}
+    assert alike_ and not lone & alike_
+    assert {a for a, x in enumerate(sets) if x.size and not any(np.intersect1d(x, y).size for b, y in enumerate(sets) if a != b)} <= lone
+    less = {x for b in shares._lone(iter(shared[1:]), parts) for x in b["node"].to_pylist()}
+    assert less < lone
