@@ -71,3 +71,41 @@ def test_recall_over_several_blocks(spark, monkeypatch):
         hits += len(set(top.tolist()) & {i for i, _ in got[q]})
         assert [v for _, v in got[q]] == sorted((v for _, v in got[q]), reverse=True)
     assert hits / (150 * 20) >= 0.9
+
+
+def test_tasks_hand_on_arrays_not_rows(spark, monkeypatch):
+    """What a step sends is rows of arrays, a few a pair of blocks, however many nodes these hold; the rounds end before their bound."""
+    monkeypatch.setattr(nndescent, "BLOCK_ROWS", 500)
+    written, table = [], nndescent.table
+
+    def seen(df, label):
+        written.append((label, table(df, label)))
+        return written[-1][1]
+
+    monkeypatch.setattr(nndescent, "table", seen)
+    x = np.random.default_rng(7).normal(size=(3000, 16))
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    got = found(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), rows, every=20, k=20)
+    want = brute(rows, 20, 20)
+    assert sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) / (20 * len(want)) >= 0.9
+    steps = [(label, df) for label, df in written if label in ("lists", "around", "beams")]
+    assert {label for label, _ in steps} == {"lists", "around", "beams"}
+    assert max(df.count() for _, df in steps) <= 2 * 6
+    assert sum(label == "lists" for label, _ in steps) < nndescent.ROUNDS
+
+
+def test_best_and_top():
+    """Places of the largest, and the best a key, against a plain sort; among many ties, too."""
+    r = np.random.default_rng(1)
+    for n in (1, 10, 33, 500, 4001):
+        for s in (r.normal(size=(17, n)).astype(np.float32), np.ones((17, n), np.float32)):
+            i, j = nndescent._top(s, 32)
+            for q in range(17):
+                assert np.sort(s[q])[::-1][:32].tolist() == np.sort(s[q][j[i == q]])[::-1][:32].tolist()
+    key, pos, flag = r.integers(0, 20, 3000).astype(np.int32), r.integers(0, 200, 3000).astype(np.int32), r.random(3000) < 0.3
+    score = np.round(np.sin(pos * 1.7 + key), 1).astype(np.float32)
+    known = {}
+    for k, p, s, f in zip(key.tolist(), pos.tolist(), score.tolist(), flag.tolist(), strict=True):
+        known[k, p] = (s, f or known.get((k, p), (0, False))[1])
+    want = [(k, p, *known[k, p]) for k in range(20) for _, p in sorted((-s, p) for (o, p), (s, _) in known.items() if o == k)[:32]]
+    assert list(zip(*(x.tolist() for x in nndescent._best(key, pos, score, flag, 32)), strict=True)) == want
