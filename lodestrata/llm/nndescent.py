@@ -10,7 +10,7 @@ expands the unexpanded nodes of its beam, a round at a time, until none is left:
 for their lists, then sends itself to the blocks of the nodes that these name.
 
 Between tasks go rows of arrays, one for many nodes (``_SENT``), shuffled by block; what
-goes is bounded by lists, never a block's whole graph once more a round.
+goes in a round is bounded by lists and beams, and by a block's own vectors once.
 
 Inner products are made comparable by one more component (all nodes get equal length), so
 the graph is one of plain distances. Single precision finds, double precision ranks.
